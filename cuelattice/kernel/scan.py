@@ -206,3 +206,17 @@ def nearest_rank(
         hit = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
         columns.append(F.max(F.when(hit, F.col(value))).alias(name))
     return picked.groupBy(*keys).agg(F.max("__size").alias("n_values"), *columns)
+
+
+def with_halo(
+    df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, width: int
+) -> tuple[DataFrame, list[str]]:
+    """Rows plus copies in neighbouring cells, for windows that look at most ``before``/``after`` back/ahead.
+
+    Returns the frame and the partition columns; keep only rows with ``__core`` after the window.
+    """
+    if not is_hot(df, keys):
+        return df.withColumn("__core", F.lit(True)), list(keys)
+    reach = F.expr(f"sequence(floor(({position} - {before}) / {width}), floor(({position} + {after}) / {width}))")
+    spread = df.withColumn("__cell", F.explode(reach))
+    return spread.withColumn("__core", F.expr(f"__cell = floor({position} / {width})")), [*keys, "__cell"]
