@@ -182,13 +182,13 @@ def _(spark, sf):
 
 @query("agg_12_window_signals", with_tables(BASE, NORMAL + ANCHORS + SIGNALS + """
 SELECT asset_id, start_ms, end_ms, n_words, round(word_density, 6) AS word_density, round(transcript_confidence, 5) AS transcript_confidence,
-       round(rhythm, 3) AS rhythm, round(audio_event, 6) AS audio_event, round(retention, 5) AS retention, laugh, burst FROM sig"""), sized="documents")
+       round(rhythm + 1e-9, 3) AS rhythm, round(audio_event, 6) AS audio_event, round(retention, 5) AS retention, laugh, burst FROM sig"""), sized="documents")
 def _(spark, sf):
     _, words, _, beats, events, kept, spans = _spans(spark, sf)
     s = H.window_signals(spans, words, beats, events, kept).where("n_words > 0")
     return s.select(
         "asset_id", "start_ms", "end_ms", "n_words", F.round("word_density", 6).alias("word_density"),
-        F.round("transcript_confidence", 5).alias("transcript_confidence"), F.round("rhythm", 3).alias("rhythm"),
+        F.round("transcript_confidence", 5).alias("transcript_confidence"), F.round(F.col("rhythm") + 1e-9, 3).alias("rhythm"),
         F.round("audio_event", 6).alias("audio_event"), F.round("retention", 5).alias("retention"),
         (F.col("laughs") > 0).alias("laugh"), (F.col("bursts") > 0).alias("burst"))
 

@@ -60,7 +60,7 @@ def clock_ms(text: Column, short: bool = False) -> Column:
     if not short:
         good = good & (hours != "")
     total = (
-        F.coalesce(F.expr("try_cast(0 AS BIGINT)"), F.lit(0)) + F.coalesce(F.nullif(hours, F.lit("")).cast("long"), F.lit(0)) * 3_600_000
+        F.coalesce(F.nullif(hours, F.lit("")).cast("long"), F.lit(0)) * 3_600_000
         + minutes.cast("long") * 60_000 + seconds.cast("long") * 1_000 + F.rpad(fraction, 3, "0").cast("long")
     )
     return F.when(good, total)
@@ -68,7 +68,7 @@ def clock_ms(text: Column, short: bool = False) -> Column:
 
 def clock_text(ms: Column, separator: str = ",") -> Column:
     return F.format_string(
-        f"%02d:%02d:%02d{separator}%03d", F.expr("1") * F.floor(ms / 3_600_000), F.floor(ms % 3_600_000 / 60_000),
+        f"%02d:%02d:%02d{separator}%03d", F.floor(ms / 3_600_000), F.floor(ms % 3_600_000 / 60_000),
         F.floor(ms % 60_000 / 1_000), (ms % 1_000).cast("long"),
     )
 
@@ -334,7 +334,7 @@ def escape_ass(text: Column) -> Column:
 
 
 # Fixed value: the style written when a document brings none.
-DEFAULT_STYLE = "Default,Arial,48,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,0,0,0,0,100,100,0,0,1,2,0,2,10,10,10,1"
+DEFAULT_STYLE = "Default,Arial,48,&H00FFFFFF,&H000000FF,&H00000000,&H64000000,0,0,0,0,100,100,0,0,1,2,0,2,30,30,30,1"
 
 
 def write_ass(cues: DataFrame, newline: str = "\r\n", styles: str = DEFAULT_STYLE) -> DataFrame:
