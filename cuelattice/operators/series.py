@@ -417,5 +417,5 @@ def speech_metadata(segments: DataFrame, durations: DataFrame) -> DataFrame:
     )
     return durations.join(sums, KEY, "left").selectExpr(
         "asset_id", "IF(duration_ms > 0, least(1.0D, coalesce(speech_ms, 0) / duration_ms), 0.0D) AS speech_coverage",
-        "coalesce(least(1.0D, weight / nullif(speech_ms, 0)), 0.0D) AS average_confidence",
+        "least(1.0D, coalesce(weight / nullif(speech_ms, 0), 0.0D)) AS average_confidence",
     )

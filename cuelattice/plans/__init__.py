@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("highlight_queries", "series_queries", "caption_queries")
+MODULES = ("highlight_queries", "series_queries", "caption_queries", "timeline_queries")
 
 
 def load_all() -> None:

@@ -211,7 +211,7 @@ SUGGEST = f""", sw AS (SELECT asset_id, word_idx, start_ms, end_ms, confidence,
 , extra AS (SELECT asset_id, start_ms, end_ms, confidence FROM segments UNION ALL SELECT asset_id, end_ms + 300, end_ms + 700, confidence FROM segments)
 , sg AS (SELECT asset_id, start_ms, max(end_ms) AS end_ms, max(confidence) AS confidence FROM extra GROUP BY 1, 2)
 , nb AS (SELECT g.*, duration_ms, lag(g.end_ms) OVER w AS pe, lag(g.confidence) OVER w AS pc, lead(g.start_ms) OVER w AS ns FROM sg g JOIN assets USING (asset_id) WINDOW w AS (PARTITION BY asset_id ORDER BY g.start_ms))
-, sil AS (SELECT asset_id, coalesce(least(duration_ms, pe + 160), 0) AS s, greatest(0, start_ms - 120) AS e, least(confidence, coalesce(pc, confidence)) AS c FROM nb
+, sil AS (SELECT asset_id, CASE WHEN pe IS NULL THEN 0 ELSE least(duration_ms, pe + 160) END AS s, greatest(0, start_ms - 120) AS e, least(confidence, coalesce(pc, confidence)) AS c FROM nb
   UNION ALL SELECT asset_id, least(duration_ms, end_ms + 160), duration_ms, confidence FROM nb WHERE ns IS NULL)
 SELECT asset_id, s AS start_ms, e AS end_ms, 'silence' AS kind, round(c, 6) AS confidence, true AS default_selected, 'silence:' || s || ':' || e || ':gap' AS suggestion_id FROM sil WHERE e - s >= 700
 UNION ALL SELECT asset_id, s, e, kind, round(confidence * CASE WHEN kind = 'contextual-word' THEN 0.65 ELSE 1 END, 6), kind = 'filler-word' AND confidence >= 0.72, kind || ':' || s || ':' || e || ':' || left(tk, 20)
