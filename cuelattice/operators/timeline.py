@@ -159,7 +159,7 @@ def render_frames(keyframes: DataFrame, ducking: DataFrame | None = None) -> Dat
     rows = keyframes.select(*CLIP, "property", "time_ms", "value", "ordinal")
     if ducking is not None:
         rows = rows.unionByName(ducking.select(*CLIP, F.lit("duckGain").alias("property"), "time_ms", "value", F.lit(0).cast("long").alias("ordinal")))
-    rows = rows.withColumn("at_ms", F.expr("greatest(0, floor(time_ms + 0.5))"))
+    rows = rows.withColumn("at_ms", F.expr("CAST(greatest(0, floor(time_ms + 0.5)) AS BIGINT)"))
     pivot = [F.expr(f"max_by(value, ordinal) FILTER (WHERE property = '{p}') AS {c}") for p, c in names.items()]
     out = rows.groupBy(*CLIP, "at_ms").agg(*pivot)
     return out.withColumn("scale_y", F.col("scale_x"))
@@ -727,3 +727,42 @@ def change_transition(clips: DataFrame, edits: DataFrame, defaults: DataFrame) -
     out_type = f"IF(new_type IS NOT NULL, {by_type}, IF(least({room}, greatest(0, new_ms)) = 0 OR {now_type} = 'none', 'none', {now_type}))"
     out_ms = f"IF(new_type IS NOT NULL, least({room}, greatest(0, {wanted})), least({room}, greatest(0, new_ms)))"
     return joined.selectExpr(*CLIP, "side", f"{out_type} AS type", f"CAST(IF({out_type} = 'none', 0, {out_ms}) AS BIGINT) AS ms")
+
+
+def place_spans(requests: DataFrame, clips: DataFrame, slack_ms: int = 1) -> DataFrame:
+    """Start that overlaps nothing: the wanted one, else beside the first clip in the way, else in the gap nearest to it.
+
+    ``requests(project_id, request_id, track_id, wanted_ms, length_ms)``.
+    """
+    key = ["project_id", "track_id"]
+    busy = clips.selectExpr(*key, "start_ms AS b_s", "start_ms + duration_ms AS b_e")
+    asked = requests.selectExpr("*", f"wanted_ms + {slack_ms} AS __s", f"wanted_ms + length_ms - {slack_ms} AS __e")
+    first = overlap_join(asked, busy, key, ("__s", "__e"), ("b_s", "b_e"), 60_000).groupBy("project_id", "request_id").agg(F.min(F.struct("b_s", "b_e")).alias("hit"))
+    base = asked.drop("__s", "__e").join(first, ["project_id", "request_id"], "left")
+    before = "abs(wanted_ms - (hit.b_s - length_ms)) <= abs(wanted_ms - hit.b_e)"
+    near = base.selectExpr(
+        "project_id", "request_id", "track_id", "length_ms",
+        f"explode(array_compact(array(struct(0 AS stage, CAST(wanted_ms AS BIGINT) AS pos, 0.0D AS rank), IF(hit IS NULL, NULL, struct(1 AS stage, CAST(greatest(0, hit.b_s - length_ms) AS BIGINT) AS pos, IF({before}, 0.0D, 1.0D) AS rank)), "
+        f"IF(hit IS NULL, NULL, struct(1 AS stage, CAST(hit.b_e AS BIGINT) AS pos, IF({before}, 1.0D, 0.0D) AS rank))))) AS c").select("project_id", "request_id", "track_id", "length_ms", "c.*")
+    tested = near.selectExpr("*", f"pos + {slack_ms} AS __s", f"pos + length_ms - {slack_ms} AS __e")
+    taken = overlap_join(tested, busy, key, ("__s", "__e"), ("b_s", "b_e"), 60_000).select("project_id", "request_id", "pos").distinct()
+    free = near.join(taken, ["project_id", "request_id", "pos"], "left_anti").select("project_id", "request_id", "stage", "pos", "rank")
+    islands = merge_intervals(busy.withColumnsRenamed({"b_s": "start_ms", "b_e": "end_ms"}), key)
+    scanned = running(islands, key, ["start_ms"], [Running("nx", "last", F.col("start_ms"), inclusive=False, reverse=True), Running("pv", "last", F.col("end_ms"), inclusive=False)], time_chunk("start_ms"))
+    head = scanned.where("pv IS NULL AND start_ms > 0").selectExpr(*key, "0L AS lo", "start_ms AS hi")
+    gaps = scanned.selectExpr(*key, "end_ms AS lo", "nx AS hi").unionByName(head)
+    fits = base.join(gaps, key).where("hi IS NULL OR hi - lo >= length_ms").selectExpr(
+        "project_id", "request_id", "2 AS stage", "CAST(greatest(lo, IF(hi IS NULL, wanted_ms, least(wanted_ms, hi - length_ms))) AS BIGINT) AS pos", "IF(hi IS NULL, 1e15D, abs(wanted_ms - (lo + hi) / 2)) AS rank")
+    best = free.unionByName(fits).groupBy("project_id", "request_id").agg(F.min_by("pos", F.struct("stage", "rank")).alias("start_ms"))
+    return requests.join(best, ["project_id", "request_id"], "left").withColumn("start_ms", F.coalesce("start_ms", "wanted_ms"))
+
+
+def place_media(media: DataFrame, clips: DataFrame, tracks: DataFrame, image_ms: int = 5_000) -> DataFrame:
+    """New clips for dropped media on a compatible open track; images get a fixed length."""
+    from cuelattice.operators.library import media_kind
+
+    kind = media_kind(F.col("file"))
+    fit = media.withColumn("file_kind", kind).join(tracks.select("project_id", "track_id", "type", "locked"), ["project_id", "track_id"]).where(
+        "NOT locked AND type <> 'text' AND file_kind IS NOT NULL AND ((type = 'audio') = (file_kind = 'audio'))")
+    asked = fit.selectExpr("project_id", "media_id AS request_id", "track_id", "wanted_ms", f"IF(file_kind = 'image', {image_ms}L, source_ms) AS length_ms", "IF(type = 'audio', 'audio', file_kind) AS kind", "file")
+    return place_spans(asked, clips)

@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ("highlight_queries", "series_queries", "caption_queries", "timeline_queries")
+MODULES = (
+    "highlight_queries", "series_queries", "caption_queries", "timeline_queries", "library_queries", "camera_queries",
+    "scalar_queries",
+)
 
 
 def load_all() -> None:

@@ -175,7 +175,7 @@ def cache_files(spark, sf):
     return _read(spark, sf, "orders").selectExpr(
         "concat(CASE WHEN o_orderkey % 9 = 0 THEN '.' ELSE '' END, o_orderkey, '.proxy', "
         "CASE WHEN o_orderkey % 9 = 0 THEN '.partial-1' ELSE '' END, '.mp4') AS path",
-        "CAST(o_totalprice AS BIGINT) AS bytes", "o_orderdate AS modified", "o_orderkey % 9 = 0 AS partial",
+        "CAST(floor(o_totalprice) AS BIGINT) AS bytes", "o_orderdate AS modified", "o_orderkey % 9 = 0 AS partial",
     )
 
 
@@ -260,7 +260,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "cache_files": ((), """
         SELECT (CASE WHEN o_orderkey % 9 = 0 THEN '.' ELSE '' END) || o_orderkey || '.proxy' ||
                (CASE WHEN o_orderkey % 9 = 0 THEN '.partial-1' ELSE '' END) || '.mp4' AS path,
-               CAST(o_totalprice AS BIGINT) AS bytes, o_orderdate AS modified, o_orderkey % 9 = 0 AS partial FROM orders"""),
+               CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderdate AS modified, o_orderkey % 9 = 0 AS partial FROM orders"""),
 }
 
 
