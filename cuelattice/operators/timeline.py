@@ -729,7 +729,7 @@ def change_transition(clips: DataFrame, edits: DataFrame, defaults: DataFrame) -
     return joined.selectExpr(*CLIP, "side", f"{out_type} AS type", f"CAST(IF({out_type} = 'none', 0, {out_ms}) AS BIGINT) AS ms")
 
 
-def place_spans(requests: DataFrame, clips: DataFrame, slack_ms: int = 1) -> DataFrame:
+def place_spans(requests: DataFrame, clips: DataFrame, slack_ms: int = 0) -> DataFrame:
     """Start that overlaps nothing: the wanted one, else beside the first clip in the way, else in the gap nearest to it.
 
     ``requests(project_id, request_id, track_id, wanted_ms, length_ms)``.

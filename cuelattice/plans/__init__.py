@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "highlight_queries", "series_queries", "caption_queries", "timeline_queries", "library_queries", "camera_queries",
-    "scalar_queries",
+    "scalar_queries", "stream_queries",
 )
 
 

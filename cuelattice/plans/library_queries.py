@@ -54,10 +54,10 @@ def _(spark, sf):
 
 
 @query("src_13_search_roots", with_tables("media_found", """, l AS (SELECT '/root' || path AS path, len(string_split(path, '/')) - 2 AS depth FROM media_found WHERE split_part(path, '/', 3)::INT < 5)
-SELECT path, depth::BIGINT AS depth, (SELECT count(*) FROM l) > 100 AS truncated FROM l ORDER BY path LIMIT 100"""))
+SELECT path, depth::BIGINT AS depth, (SELECT count(*) FROM l) > 100000 AS truncated FROM l ORDER BY path LIMIT 100000"""))
 def _(spark, sf):
     listing = T.media_found(spark, sf).where("CAST(split(path, '/')[2] AS INT) < 5").select(F.concat(F.lit("/root"), "path").alias("path"))
-    return B.search_candidates(listing, "/root/new/", limit=100).withColumn("depth", F.col("depth").cast("long"))
+    return B.search_candidates(listing, "/root/new/").withColumn("depth", F.col("depth").cast("long"))
 
 
 RELINK = """, r AS (SELECT *, lower(split_part(path, '/', 3)) AS nk FROM media_refs), p AS (

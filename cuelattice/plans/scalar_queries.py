@@ -88,7 +88,7 @@ def _(spark, sf):
 
 
 @query("math_10_frame_times", with_tables("clips", """, c AS (SELECT project_id, clip_id, duration_ms::DOUBLE AS d, greatest(0, duration_ms - least(50, greatest(1, duration_ms * 0.005)))::DOUBLE AS last FROM clips), s AS (SELECT *, least(last, 300) AS st FROM c), e AS (SELECT *, least(last, st + 5000) AS en FROM s)
-SELECT project_id, clip_id, k::BIGINT AS idx, round(st + (en - st) * k / 6.0, 4) AS t FROM e, range(0, 7) r(k)"""))
+SELECT project_id, clip_id, k::BIGINT AS idx, round(st + (en - st) * k / 6.0, 4) AS t FROM e, range(0, 7) r(k) WHERE k = 0 OR en > st"""))
 def _(spark, sf):
     rows = T.clips(spark, sf).select("project_id", "clip_id", F.posexplode(V.frame_times("duration_ms", "300.0D", "5000.0D", "7.9D")).alias("idx", "t"))
     return rows.selectExpr("project_id", "clip_id", "CAST(idx AS BIGINT) AS idx", "round(t, 4) AS t")
@@ -112,12 +112,12 @@ def _(spark, sf):
 
 
 PLACE = """, bz AS (SELECT project_id, start_ms AS s, start_ms + duration_ms AS e FROM clips WHERE track_id = 't0'), m AS (SELECT DISTINCT c.project_id, 15000 AS w, 5000 AS len FROM clips c JOIN tracks t ON t.project_id = c.project_id AND t.track_id = 't0' AND NOT t.locked)
-, ov AS (SELECT m.*, arg_min(s, s) AS os, arg_min(e, s) AS oe FROM m JOIN bz ON bz.project_id = m.project_id AND w + len > s + 1 AND w < e - 1 GROUP BY ALL)
+, ov AS (SELECT m.*, arg_min(s, s) AS os, arg_min(e, s) AS oe FROM m JOIN bz ON bz.project_id = m.project_id AND w + len > s AND w < e GROUP BY ALL)
 , cd AS (SELECT project_id, w, len, 0 AS st, w AS pos, 0 AS pr FROM m UNION ALL SELECT project_id, w, len, 1, greatest(0, os - len - 0), CASE WHEN abs(w - (os - len)) <= abs(w - oe) THEN 0 ELSE 1 END FROM ov UNION ALL SELECT project_id, w, len, 1, oe, CASE WHEN abs(w - (os - len)) <= abs(w - oe) THEN 1 ELSE 0 END FROM ov)
 , mg AS (SELECT project_id, s, e, max(e) OVER (PARTITION BY project_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM bz)
 , gp AS (SELECT project_id, coalesce(pe, 0) AS lo, s AS hi FROM mg WHERE s > coalesce(pe, 0) UNION ALL SELECT project_id, max(e), NULL FROM bz GROUP BY 1)
 , gc AS (SELECT m.project_id, w, len, 2 AS st, greatest(lo, least(w, coalesce(hi - len, 1e15)))::BIGINT AS pos, CASE WHEN hi IS NULL THEN 1e15 ELSE abs(w - (lo + hi) / 2.0) END AS pr FROM m JOIN gp USING (project_id) WHERE coalesce(hi - lo, 1e15) >= len)
-, al AS (SELECT * FROM cd WHERE NOT EXISTS (SELECT 1 FROM bz WHERE bz.project_id = cd.project_id AND pos + len > s + 1 AND pos < e - 1) UNION ALL SELECT * FROM gc)
+, al AS (SELECT * FROM cd WHERE NOT EXISTS (SELECT 1 FROM bz WHERE bz.project_id = cd.project_id AND pos + len > s AND pos < e) UNION ALL SELECT * FROM gc)
 SELECT project_id, arg_min(pos, (st, pr))::BIGINT AS start_ms FROM al GROUP BY 1"""
 
 
