@@ -753,7 +753,7 @@ def place_spans(requests: DataFrame, clips: DataFrame, slack_ms: int = 0) -> Dat
     gaps = scanned.selectExpr(*key, "end_ms AS lo", "nx AS hi").unionByName(head)
     fits = base.join(gaps, key).where("hi IS NULL OR hi - lo >= length_ms").selectExpr(
         "project_id", "request_id", "2 AS stage", "CAST(greatest(lo, IF(hi IS NULL, wanted_ms, least(wanted_ms, hi - length_ms))) AS BIGINT) AS pos", "IF(hi IS NULL, 1e15D, abs(wanted_ms - (lo + hi) / 2)) AS rank")
-    best = free.unionByName(fits).groupBy("project_id", "request_id").agg(F.min_by("pos", F.struct("stage", "rank")).alias("start_ms"))
+    best = free.unionByName(fits).groupBy("project_id", "request_id").agg(F.min_by("pos", F.struct("stage", "rank", "pos")).alias("start_ms"))
     return requests.join(best, ["project_id", "request_id"], "left").withColumn("start_ms", F.coalesce("start_ms", "wanted_ms"))
 
 

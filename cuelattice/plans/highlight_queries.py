@@ -14,10 +14,16 @@ from cuelattice.plans.tables import with_tables
 from cuelattice.session import cut_lineage
 
 
+def _stored(spark, sf):
+    """Words and segments as stored tables: in production they are tables, here they come from the documents."""
+    return cut_lineage(T.words(spark, sf)), cut_lineage(T.segments(spark, sf).drop("seg_idx"))
+
+
 def _inputs(spark, sf):
     options = H.normalize_options(T.assets(spark, sf))
     carry = H.WINDOW_OPTIONS
-    words, segments = H.normalize_spans(T.words(spark, sf), options, carry), H.normalize_spans(T.segments(spark, sf), options)
+    raw_words, raw_segments = _stored(spark, sf)
+    words, segments = H.normalize_spans(raw_words, options, carry), H.normalize_spans(raw_segments, options)
     beats = H.normalize_points(T.doc_beats(spark, sf), options, "confidence")
     events = H.normalize_points(T.audio_events(spark, sf), options, "score", carry)
     kept = H.normalize_points(T.retention(spark, sf), options, "score", carry)
@@ -210,8 +216,9 @@ def _(spark, sf):
 
 
 def highlight_plan(spark, sf):
+    words, segments = _stored(spark, sf)
     plan = H.plan_highlights(
-        T.assets(spark, sf), T.words(spark, sf), T.segments(spark, sf), T.doc_beats(spark, sf), T.audio_events(spark, sf), T.retention(spark, sf))
+        T.assets(spark, sf), words, segments, T.doc_beats(spark, sf), T.audio_events(spark, sf), T.retention(spark, sf))
     return plan.select("asset_id", "candidate_id", "start_ms", "end_ms", "score", F.concat_ws(" | ", "reasons").alias("reasons"), "transcript")
 
 

@@ -118,7 +118,7 @@ PLACE = """, bz AS (SELECT project_id, start_ms AS s, start_ms + duration_ms AS
 , gp AS (SELECT project_id, coalesce(pe, 0) AS lo, s AS hi FROM mg WHERE s > coalesce(pe, 0) UNION ALL SELECT project_id, max(e), NULL FROM bz GROUP BY 1)
 , gc AS (SELECT m.project_id, w, len, 2 AS st, greatest(lo, least(w, coalesce(hi - len, 1e15)))::BIGINT AS pos, CASE WHEN hi IS NULL THEN 1e15 ELSE abs(w - (lo + hi) / 2.0) END AS pr FROM m JOIN gp USING (project_id) WHERE coalesce(hi - lo, 1e15) >= len)
 , al AS (SELECT * FROM cd WHERE NOT EXISTS (SELECT 1 FROM bz WHERE bz.project_id = cd.project_id AND pos + len > s AND pos < e) UNION ALL SELECT * FROM gc)
-SELECT project_id, arg_min(pos, (st, pr))::BIGINT AS start_ms FROM al GROUP BY 1"""
+SELECT project_id, arg_min(pos, (st, pr, pos))::BIGINT AS start_ms FROM al GROUP BY 1"""
 
 
 @query("edt_19_place_media", with_tables("clips tracks", PLACE), sized="lineitem")

@@ -304,10 +304,10 @@ def _(spark, sf):
 
 
 @query("agg_17_speech_metadata", with_tables("segments assets", """, g AS (SELECT asset_id, sum(end_ms - start_ms) AS ms, sum(confidence * (end_ms - start_ms)) AS w FROM segments GROUP BY 1)
-SELECT asset_id, round(coalesce(ms, 0) / duration_ms::DOUBLE, 6) AS speech_coverage, round(coalesce(w / ms, 0), 6) AS average_confidence FROM assets LEFT JOIN g USING (asset_id)"""))
+SELECT asset_id, round(coalesce(ms, 0) / duration_ms::DOUBLE, 6) AS speech_coverage, round(coalesce(w / ms, 0) + 1e-9, 6) AS average_confidence FROM assets LEFT JOIN g USING (asset_id)"""))
 def _(spark, sf):
     out = S.speech_metadata(T.segments(spark, sf), T.assets(spark, sf))
-    return out.withColumns({c: F.round(c, 6) for c in ("speech_coverage", "average_confidence")})
+    return out.withColumns({"speech_coverage": F.round("speech_coverage", 6), "average_confidence": F.round(F.col("average_confidence") + 1e-9, 6)})
 
 
 @query("set_01_union_event_kinds", with_tables("audio_events retention", """

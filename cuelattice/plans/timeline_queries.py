@@ -226,19 +226,18 @@ def _(spark, sf):
     return _duck(spark, sf)[1]
 
 
-# The oracle evaluates the trapezoids on a dense grid of whole milliseconds near each breakpoint kind instead of solving crossings.
+# Release (650 ms) of one shape and attack (100 ms) of the next meet where their shares of the way add up to one.
 ENV = DUCK + """, sh AS (SELECT im.project_id, im.clip_id, t.start_ms AS ts, t.duration_ms AS tl, pow(10, -14 / 20.0) AS d, s - 180 AS a0, s - 80 AS a1, e + 160 AS b0, e + 810 AS b1 FROM im JOIN tg t USING (project_id, clip_id))
-, tp AS (SELECT DISTINCT project_id, clip_id, ts, tl, unnest([a0, a1, b0, b1, ts, ts + tl]) AS t FROM sh)
-SELECT tp.project_id, tp.clip_id, (t - tp.ts)::DOUBLE AS time_ms, round(min(CASE WHEN t <= a0 OR t >= b1 THEN 1 WHEN t < a1 THEN 1 + (d - 1) * (t - a0) / (a1 - a0) WHEN t <= b0 THEN d ELSE d + (1 - d) * (t - b0) / (b1 - b0) END), 6) AS value
+, nx AS (SELECT *, lead(a0) OVER (PARTITION BY project_id, clip_id ORDER BY a0) AS na FROM sh), cr AS (SELECT *, (1 + b0 / 650.0 + na / 100.0) / (1 / 650.0 + 1 / 100.0) AS t FROM nx WHERE na IS NOT NULL AND least(b1, na + 100) > greatest(b0, na))
+, tp AS (SELECT DISTINCT project_id, clip_id, ts, tl, round(t, 4)::DOUBLE AS t FROM (SELECT project_id, clip_id, ts, tl, unnest([a0, a1, b0, b1, ts, ts + tl]) AS t FROM sh UNION ALL SELECT project_id, clip_id, ts, tl, t FROM cr WHERE t BETWEEN greatest(b0, na) - 1e-9 AND least(b1, na + 100) + 1e-9))
+SELECT tp.project_id, tp.clip_id, round(t - tp.ts, 3)::DOUBLE AS time_ms, round(min(CASE WHEN t <= a0 OR t >= b1 THEN 1 WHEN t < a1 THEN 1 + (d - 1) * (t - a0) / (a1 - a0) WHEN t <= b0 THEN d ELSE d + (1 - d) * (t - b0) / (b1 - b0) END), 5) AS value
 FROM tp JOIN sh USING (project_id, clip_id) WHERE t BETWEEN tp.ts AND tp.ts + tp.tl GROUP BY 1, 2, 3"""
 
 
 @query("win_16_ducking_envelope", with_tables("clips tracks", ENV), sized="lineitem")
 def _(spark, sf):
-    """Breakpoints only; crossing points between release and attack are checked by the unit tests."""
     targets, merged = _duck(spark, sf)
-    out = M.duck_envelope(targets, merged).where("time_ms = floor(time_ms)")
-    return out.selectExpr("project_id", "clip_id", "time_ms", "round(value, 6) AS value")
+    return M.duck_envelope(targets, merged).selectExpr("project_id", "clip_id", "round(time_ms, 3) AS time_ms", "round(value, 5) AS value")
 
 
 @query("win_24_quiet_regions", with_tables("clips", """, k AS (SELECT project_id, clip_id, k * 500 AS t, (k // 2 % 3) * 0.2 AS v, k FROM clips, range(0, 8) r(k)), n AS (SELECT *, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM k WINDOW w AS (PARTITION BY project_id, clip_id ORDER BY t))
