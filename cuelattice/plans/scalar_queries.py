@@ -112,7 +112,7 @@ def _(spark, sf):
 
 
 PLACE = """, bz AS (SELECT project_id, start_ms AS s, start_ms + duration_ms AS e FROM clips WHERE track_id = 't0'), m AS (SELECT DISTINCT c.project_id, 15000 AS w, 5000 AS len FROM clips c JOIN tracks t ON t.project_id = c.project_id AND t.track_id = 't0' AND NOT t.locked)
-, ov AS (SELECT m.*, arg_min(s, s) AS os, arg_min(e, s) AS oe FROM m JOIN bz ON bz.project_id = m.project_id AND w + len > s AND w < e GROUP BY ALL)
+, ov AS (SELECT m.*, min(s) AS os, arg_min(e, (s, e)) AS oe FROM m JOIN bz ON bz.project_id = m.project_id AND w + len > s AND w < e GROUP BY ALL)
 , cd AS (SELECT project_id, w, len, 0 AS st, w AS pos, 0 AS pr FROM m UNION ALL SELECT project_id, w, len, 1, greatest(0, os - len - 0), CASE WHEN abs(w - (os - len)) <= abs(w - oe) THEN 0 ELSE 1 END FROM ov UNION ALL SELECT project_id, w, len, 1, oe, CASE WHEN abs(w - (os - len)) <= abs(w - oe) THEN 1 ELSE 0 END FROM ov)
 , mg AS (SELECT project_id, s, e, max(e) OVER (PARTITION BY project_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM bz)
 , gp AS (SELECT project_id, coalesce(pe, 0) AS lo, s AS hi FROM mg WHERE s > coalesce(pe, 0) UNION ALL SELECT project_id, max(e), NULL FROM bz GROUP BY 1)
