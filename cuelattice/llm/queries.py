@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelattice.llm.byte_bpe import decode_tokens, encode_transcripts
 from cuelattice.llm.exact_dedup import exact_duplicates
 from cuelattice.llm.mixing import mixture_copies
+from cuelattice.llm.secret_scan import find_secrets
 from cuelattice.llm.sharding import interleave_shards
+from cuelattice.llm.vocabulary import Vocabulary, read_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +30,30 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id AS asset_id", "text AS transcript", "lang AS language", "source AS source_name")
 
 
+def vocabulary(spark: SparkSession) -> Vocabulary:
+    return read_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def base_of(spans: Column) -> Column:
+    return F.filter(spans, lambda s: s["base"])
+
+
+def base_count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def span_columns(*kinds: str) -> list[Column]:
+    return [
+        F.col("asset_id").alias("doc_id"), *[base_count(kind) for kind in kinds],
+        F.sha2(joined(base_of(F.col("spans"))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    ]
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_copies(transcripts(spark, sf_dir)).selectExpr(
@@ -38,6 +66,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "asset_id AS doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query
+def op6_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(transcripts(spark, sf_dir), vocabulary(spark)).select(*span_columns("assign", "access", "hex"))
+
+
 @query
 def op8_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(transcripts(spark, sf_dir)).select(
@@ -45,6 +78,16 @@ def op8_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary(spark)
+    decoded = decode_tokens(encode_transcripts(transcripts(spark, sf_dir), words), words)
+    return decoded.select(
+        F.col("asset_id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("content", 256).alias("decoded_sha256"))
+
+
 ORACLES["op3_mix_sources"] = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
   substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3) AS part FROM documents),
