@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.byte_bpe import decode_tokens, encode_transcripts
 from cuelattice.llm.exact_dedup import exact_duplicates
+from cuelattice.llm.language_id import fit_languages, label_languages
 from cuelattice.llm.mixing import mixture_copies
 from cuelattice.llm.secret_scan import find_secrets
 from cuelattice.llm.sharding import interleave_shards
@@ -60,6 +61,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "asset_id AS doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def held_out(asset_id: str) -> Column:
+    """The rows of which language ID learns nothing."""
+    return F.coalesce(F.crc32(F.col(asset_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transcripts(spark, sf_dir)
+    model = fit_languages(rows.where(~held_out("asset_id")))
+    return label_languages(rows, model).select(
+        F.col("asset_id").alias("doc_id"), held_out("asset_id").alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(transcripts(spark, sf_dir)).selectExpr(
