@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.llm.records import WHITE_SPACE, without
+from cuelattice.llm.records import WHITE_SPACE, salted_join, without
 
 #: Bits of one filter block: what one bitmap of ``bitmap_construct_agg`` holds.
 BLOCK_BITS = 32_768
@@ -15,11 +15,14 @@ OWN = ("keep_id", "group_size", "kept", "text_sha256")
 
 def _hashed(transcripts: DataFrame, blocks: int) -> DataFrame:
     text = F.coalesce("transcript", F.lit(""))
-    bare = F.translate(text, WHITE_SPACE, "")
-    mixed = F.xxhash64(bare, F.lit("probe"))
+    bare = text
+    for sign in WHITE_SPACE:
+        bare = F.replace(bare, F.lit(sign), F.lit(""))
+    digest = F.xxhash64(bare)
+    mixed = F.xxhash64(digest, F.lit("probe"))
     bits = [F.shiftrightunsigned(mixed, 15 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for k in range(PROBES)]
     return transcripts.withColumns({
-        "_bare": bare, "_n_chars": F.length(text), "_block": F.pmod(F.xxhash64(bare), F.lit(blocks)), "_bits": F.array(*bits),
+        "_bare": bare, "_n_chars": F.length(text), "_block": F.pmod(digest, F.lit(blocks)), "_bits": F.array(*bits),
     })
 
 
@@ -77,7 +80,7 @@ def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, broadcast_b
     best = several.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order).alias("_best"))
     # Rows of one id and text are told apart in a partitioning of their own: copies of a text spread by id.
     spread = F.md5(F.concat_ws("|", "text_sha256", F.coalesce(F.col("asset_id").cast("string"), F.lit("null"))))
-    grouped = several.join(best, "text_sha256").withColumn("_spread", spread)
+    grouped = salted_join(several, best, "text_sha256", F.col("asset_id")).withColumn("_spread", spread)
     first = F.row_number().over(Window.partitionBy("_spread").orderBy(F.desc("_n_chars"))) == 1
     marked = grouped.withColumns({
         "keep_id": F.col("_best.id"),

@@ -14,6 +14,7 @@ from cuelattice.llm.language_id import fit_languages, label_languages
 from cuelattice.llm.mixing import mixture_copies
 from cuelattice.llm.secret_scan import find_secrets
 from cuelattice.llm.sharding import interleave_shards
+from cuelattice.llm.simhash import simhash_groups
 from cuelattice.llm.vocabulary import Vocabulary, read_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,11 @@ def span_columns(*kinds: str) -> list[Column]:
     ]
 
 
+@query
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(transcripts(spark, sf_dir)).select(F.col("asset_id").alias("doc_id"), "fingerprint", "component_id")
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_copies(transcripts(spark, sf_dir)).selectExpr(

@@ -28,3 +28,13 @@ def word_count(text: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns can clash with nothing."""
     return df.select(*[F.col(f"`{name}`") for name in names])
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+    """Inner join of rows with one row per group, where a group may own a large share of the rows.
+
+    Each group's row is repeated for every salt and the group's rows are spread over them, so one task reads a
+    ``salts``-th of the largest group at most; what is still too large is left to the skew join of Spark.
+    """
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
