@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.llm.byte_bpe import decode_tokens, encode_transcripts
+from cuelattice.llm.cap_filters import embedding_groups
 from cuelattice.llm.exact_dedup import exact_duplicates
 from cuelattice.llm.language_id import fit_languages, label_languages
 from cuelattice.llm.mixing import mixture_copies
@@ -61,6 +62,11 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(transcripts(spark, sf_dir)).select(F.col("asset_id").alias("doc_id"), "fingerprint", "component_id")
 
 
+@query
+def op2_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_copies(transcripts(spark, sf_dir)).selectExpr(
