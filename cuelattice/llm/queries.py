@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from cuelattice.llm.byte_bpe import decode_tokens, encode_transcripts
 from cuelattice.llm.cap_filters import embedding_groups
 from cuelattice.llm.exact_dedup import exact_duplicates
+from cuelattice.llm.fixity import fixity_audit, warc_records
 from cuelattice.llm.language_id import fit_languages, label_languages
 from cuelattice.llm.mixing import mixture_copies
+from cuelattice.llm.personal_data import find_personal_data, fit_tagger
 from cuelattice.llm.secret_scan import find_secrets
 from cuelattice.llm.sharding import interleave_shards
 from cuelattice.llm.simhash import simhash_groups
@@ -97,6 +99,16 @@ def op6_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(transcripts(spark, sf_dir), vocabulary(spark)).select(*span_columns("assign", "access", "hex"))
 
 
+@query
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages against a second copy in which records by their address have decayed or are lost."""
+    records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    fate = F.substr(F.md5(F.col("record_id").cast("string")), F.lit(1), F.lit(2))
+    decayed = F.concat(F.substr(F.col("record"), F.lit(1), F.octet_length("record") - 5), F.lit(b"?\r\n\r\n"))
+    second = records.where(fate != "07").withColumn("record", F.when(fate.isin("1f", "a3"), decayed).otherwise(F.col("record")))
+    return fixity_audit(records, second)
+
+
 @query
 def op8_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(transcripts(spark, sf_dir)).select(
@@ -114,6 +126,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("content", 256).alias("decoded_sha256"))
 
 
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transcripts(spark, sf_dir)
+    return find_personal_data(rows, fit_tagger(rows)).select(*span_columns("email", "ip", "card", "phone"))
+
+
 ORACLES["op3_mix_sources"] = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
   substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3) AS part FROM documents),
@@ -137,3 +155,15 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
   row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
+
+ORACLES["op7_warc_fixity"] = r"""
+WITH r AS (SELECT page_id // 500 AS archive, page_id, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+    || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record,
+  substr(md5(page_id::VARCHAR), 1, 2) AS fate FROM pages),
+o AS (SELECT *, (sum(octet_length(record)) OVER (PARTITION BY archive ORDER BY page_id) - octet_length(record))::BIGINT AS "offset" FROM r)
+SELECT archive, "offset", sha256(record) AS digest_a,
+  CASE WHEN fate <> '07' THEN sha256(record[1:octet_length(record) - 5] || encode('?' || chr(13) || chr(10) || chr(13) || chr(10))) END AS digest_b,
+  CASE WHEN fate = '07' THEN 'missing in b' ELSE 'changed' END AS finding
+FROM o WHERE fate IN ('07', '1f', 'a3')
+"""
