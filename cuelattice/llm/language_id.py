@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -176,10 +176,10 @@ def label_texts(texts: list[str], model: LanguageModel, penalty: float, slice_po
     return found
 
 
-def label_languages(transcripts: DataFrame, model: LanguageModel, switch_penalty: float = 12.0, batch_points: int = 1_000_000) -> DataFrame:
+def label_languages(transcripts: DataFrame, model: LanguageModel, switch_penalty: float = 12.0, batch_points: int = 1_000_000, passing: Sequence[str] = ()) -> DataFrame:
     """Language of whole transcripts, and spans where it changes.
 
-    Reads only ``transcript``; returns ``asset_id``, ``language`` (that of most letters; ``und`` without letters),
+    Reads only ``transcript``; returns ``asset_id`` and the columns named in ``passing``, ``language`` (that of most letters; ``und`` without letters),
     ``score`` (its share of the letters, 0 for ``und``) and ``spans``, an array of (start, end, language) in code
     points, one per run of words with one label.
 
@@ -191,10 +191,11 @@ def label_languages(transcripts: DataFrame, model: LanguageModel, switch_penalty
     languages that tie are taken in alphabetical order; rows that repeat an id stay separate; an empty table gives
     an empty result; other columns are ignored.
     """
-    df = only(transcripts, "asset_id", "transcript")
+    keep = list(dict.fromkeys(["asset_id", *passing]))
+    df = only(transcripts, *dict.fromkeys([*keep, "transcript"]))
     shared: Broadcast = df.sparkSession.sparkContext.broadcast(model)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string())]))
-    schema = T.StructType([df.schema["asset_id"], *T._parse_datatype_string("language string, score double, spans array<struct<start:int,end:int,language:string>>").fields])
+    schema = T.StructType([*[df.schema[name] for name in keep], *T._parse_datatype_string("language string, score double, spans array<struct<start:int,end:int,language:string>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -210,7 +211,7 @@ def label_languages(transcripts: DataFrame, model: LanguageModel, switch_penalty
                     size += len(texts[own[-1]])
                 found = label_texts([texts[i] for i in own], held, switch_penalty, most)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("asset_id").take(pa.array(own)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], spans_type)],
-                    ["asset_id", "language", "score", "spans"])
+                    [*[batch.column(name).take(pa.array(own)) for name in keep], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], spans_type)],
+                    [*keep, "language", "score", "spans"])
 
     return df.mapInArrow(run, schema)
