@@ -15,10 +15,24 @@ Arrays = dict[str, np.ndarray]
 
 
 def _column(array: pa.Array) -> np.ndarray:
-    """Numbers as they are; lists of one length as a matrix."""
-    if pa.types.is_list(array.type):
-        return np.asarray(array.flatten()).reshape(len(array), -1)
-    return array.to_numpy(zero_copy_only=False)
+    """Numbers as they are; lists as a matrix, or as single arrays if their lengths differ."""
+    if not pa.types.is_list(array.type):
+        return array.to_numpy(zero_copy_only=False)
+    flat, ends = np.asarray(array.flatten()), np.cumsum(array.value_lengths().to_numpy())
+    if len(flat) == len(array) * ends[0]:
+        return flat.reshape(len(array), -1)
+    return _single(np.split(flat, ends[:-1]))
+
+
+def _single(rows: Sequence[np.ndarray]) -> np.ndarray:
+    held = np.empty(len(rows), dtype=object)
+    for k, row in enumerate(rows):
+        held[k] = row
+    return held
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate((a, b)) if a.shape[1:] == b.shape[1:] else np.concatenate([x if x.ndim == 1 else _single(list(x)) for x in (a, b)])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: Sequence[str], most: int) -> Iterator[tuple[Arrays, np.ndarray, np.ndarray]]:
@@ -31,7 +45,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: Sequence[str], most: in
         if not batch.num_rows:
             continue
         now = {name: _column(batch.column(name)) for name in batch.schema.names}
-        held = {name: np.concatenate((held[name], now[name])) for name in now} if held else now
+        held = {name: _joined(held[name], now[name]) for name in now} if held else now
         change = np.zeros(len(held[key[0]]) - 1, dtype=bool)
         for name in key:
             change |= held[name][1:] != held[name][:-1]

@@ -106,7 +106,7 @@ def close_pairs(cosine: float):
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, size in zip(starts, sizes, strict=True):
             node = held["node"][start : start + size]
-            unit = held["vector"][start : start + size].astype(np.float64)
+            unit = np.stack(held["vector"][start : start + size]).astype(np.float64)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             if "_side" in held and len(np.unique(side := held["_side"][start : start + size])) == 2:
                 one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)

@@ -146,7 +146,7 @@ def best_paths(scores: np.ndarray, firsts: np.ndarray, counts: np.ndarray, penal
             value[:n] = np.where(stay, v, switched[:, None])
         value[:n] += scores[rows]
     labels = np.zeros(len(scores), dtype=np.int32)
-    state = value.argmax(1) if scores.shape[1] else np.zeros(len(counts), dtype=np.int64)
+    state = value.argmax(1)
     for t in range(longest - 1, -1, -1):
         n = alive[t]
         rows = firsts[:n] + t
@@ -157,13 +157,15 @@ def best_paths(scores: np.ndarray, firsts: np.ndarray, counts: np.ndarray, penal
 
 def label_texts(texts: list[str], model: LanguageModel, penalty: float, slice_points: int) -> list[tuple[str, float, list[dict]]]:
     """Language, score and spans of each text."""
+    if not model.languages:
+        return [(UNKNOWN, 0.0, [])] * len(texts)
     words = [word_scores(_points(text), model, slice_points) for text in texts]
     counts = np.array([len(w[0]) for w in words], dtype=np.int64)
     firsts = np.cumsum(counts) - counts
     labels = best_paths(np.concatenate([w[2] for w in words]), firsts, counts, penalty)
     found = []
     for (starts, ends, _), first, n in zip(words, firsts, counts, strict=True):
-        if not n or not model.languages:
+        if not n:
             found.append((UNKNOWN, 0.0, []))
             continue
         own = labels[first : first + n]

@@ -154,10 +154,10 @@ def closest_links(farthest: int):
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        bits = held["bits"].view(np.uint64)
+        bits, more = held["bits"].view(np.uint64), held["more"].view(np.uint64)
         for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            own = bits[start : start + size]
-            apart = np.bitwise_count(own[:, None] ^ own[None, :])
+            own, other = bits[start : start + size], more[start : start + size]
+            apart = np.bitwise_count(own[:, None] ^ own[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :])
             i, j = np.nonzero(np.triu(apart <= farthest, 1))
             if len(i) > 4 * size:
                 i, j = _spanning(apart, farthest)
@@ -189,6 +189,14 @@ def _spanning(apart: np.ndarray, farthest: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64)
 
 
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for a second fingerprint."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``node`` and ``shingles``: the sorted distinct shingle hashes of ``transcript`` (binary)."""
 
@@ -203,7 +211,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(
-    transcripts: DataFrame, words: int = 5, similarity: float = 0.8, farthest: int = 16, radius: int = 3, parts: int = 14, occupancy: int = 32, most: int = 1024,
+    transcripts: DataFrame, words: int = 5, similarity: float = 0.8, farthest: int = 34, radius: int = 3, parts: int = 10, occupancy: int = 32, most: int = 1024,
 ) -> DataFrame:
     """Mark transcripts whose shingle sets are similar, found by SimHash and verified.
 
@@ -211,9 +219,9 @@ def near_duplicates(
     asset_id of its group) and ``kept`` (true for exactly one row of each group). Transcripts are linked if the sets
     of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or more; equal texts are one node.
 
-    Candidates are fingerprints within ``farthest`` bits that meet under a covering mask. At a similarity of 0.8
-    fingerprints differ in about ten bits, for which masks that never miss would be too many; so the masks cover
-    ``radius`` differences within each of ``parts`` choices of positions, whose number grows with the logarithm of
+    Fingerprints are of the sets, 64 bits for the masks and 64 more. Candidates meet under a covering mask and
+    differ in at most ``farthest`` of the 128 bits. At a similarity of 0.8 about ten of 64 bits differ, for which masks
+    that never miss would be too many; so the masks cover ``radius`` differences within each of ``parts`` choices of positions, whose number grows with the logarithm of
     the rows such that about ``occupancy`` unrelated fingerprints share a bucket. In dense buckets the candidates
     are the closest links that connect it, so a group of many near copies needs no pair of each two. Every
     candidate is verified on whole texts. Measured recall is in the README.
@@ -226,24 +234,28 @@ def near_duplicates(
     text = F.coalesce("transcript", F.lit(""))
     keyed = own.withColumn("_key", F.sha2(text.cast("binary"), 256))
     kind = own.schema["asset_id"]
-    schema = T.StructType([kind, T.StructField("_key", T.StringType()), T.StructField("bits", T.LongType()), T.StructField("some", T.BooleanType())])
+    schema = T.StructType([kind, T.StructField("_key", T.StringType()), T.StructField("bits", T.LongType()), T.StructField("more", T.LongType()), T.StructField("some", T.BooleanType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = (shingle_hashes(x.as_py(), words) for x in batch.column("transcript"))
-            bits, some = zip(*[(fingerprint(h), bool(len(h))) for h in hashes], strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("asset_id"), batch.column("_key"), pa.array(bits, pa.int64()), pa.array(some, pa.bool_())], ["asset_id", "_key", "bits", "some"])
+            bits, more, some = [], [], []
+            for text in batch.column("transcript"):
+                hashes = np.unique(shingle_hashes(text.as_py(), words))
+                bits.append(fingerprint(hashes))
+                more.append(fingerprint(remixed(hashes)))
+                some.append(len(hashes) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("asset_id"), batch.column("_key"), pa.array(bits, pa.int64()), pa.array(more, pa.int64()), pa.array(some, pa.bool_())], ["asset_id", "_key", "bits", "more", "some"])
 
     marked = keyed.select("asset_id", "_key", text.cast("binary").alias("transcript")).mapInArrow(mark, schema)
     first = F.min(F.struct(F.col("asset_id").isNull().alias("none"), F.col("asset_id").alias("id")))
-    distinct = marked.groupBy("_key").agg(F.first("bits").alias("bits"), F.first("some").alias("some"), first.alias("least"), F.count("*").alias("copies"))
+    distinct = marked.groupBy("_key").agg(F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("some").alias("some"), first.alias("least"), F.count("*").alias("copies"))
     # Written, so that the numbers given to distinct texts stay the same for all readers.
     nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()))
     count = nodes.count()
     positions = min(BITS, max(radius + 1, math.ceil(15 / 8 * math.log2(max(2, count / occupancy)))))
     masks = shared_positions_masks(positions, radius, parts)
     table = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(masks) - 1).cast("long")))
-    met = nodes.where("some").select("node", "bits", table.alias("mask")).withColumn(
+    met = nodes.where("some").select("node", "bits", "more", table.alias("mask")).withColumn(
         "under", F.col("bits").bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), (F.col("mask") + 1).cast("int"))))
     candidates = cut_lineage(bucket_pairs(met, ["mask", "under"], "node", closest_links(farthest), most))
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "_key"), "node")
