@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm.records import arrow_batches
 from cuelattice.session import cut_lineage
 
 Arrays = dict[str, np.ndarray]
@@ -70,6 +71,7 @@ def bucket_pairs(
     of blocks is a group of its own, so every two rows of a bucket meet and no task holds more than two blocks.
     """
     names = list(rows.columns)
+    arrow_batches(rows.sparkSession)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, starts, sizes in whole_groups(batches, bucket, most):
@@ -84,7 +86,10 @@ def bucket_pairs(
     schema = "a long, b long, over boolean, " + ", ".join(f"{k} long" for k in bucket)
     dealt = rows.repartition(*bucket).sortWithinPartitions(*bucket)
     found = cut_lineage(dealt.mapInArrow(first, schema).distinct())
+    links = found.where("not over").select("a", "b").distinct()
     large = found.where("over").select(*bucket)
+    if not large.take(1):
+        return links
     sizes = rows.join(large, list(bucket)).groupBy(*bucket).agg(F.ceil(F.count("*") / most).cast("int").alias("_blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     blocks = rows.join(sizes, list(bucket)).withColumn("_own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int")).withColumn("_other", other)
@@ -101,5 +106,5 @@ def bucket_pairs(
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     again = pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(second, "a long, b long")
-    return found.where("not over").select("a", "b").union(again).distinct()
+    return links.union(again).distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.llm.records import only
+from cuelattice.llm.records import arrow_batches, only
 from cuelattice.llm.vocabulary import Vocabulary
 
 #: Rows of one output batch.
@@ -25,6 +25,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_OUT) -> Iterator
 
 def _encoded(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Replace ``_text`` by ``token_ids``."""
+    arrow_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +118,7 @@ def decode_tokens(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     All columns pass through; one named ``content`` is replaced.
     """
     df = tokens.drop("content")
+    arrow_batches(df.sparkSession)
     keep = df.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

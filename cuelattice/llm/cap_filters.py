@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.buckets import Arrays, bucket_pairs
 from cuelattice.llm.components import components
-from cuelattice.llm.records import only
+from cuelattice.llm.records import arrow_batches, only
 from cuelattice.session import cut_lineage
 
 
@@ -142,6 +142,7 @@ def embedding_groups(
     component's are kept; an empty table gives an empty result; other columns are ignored.
     """
     rows = only(embeddings, "vec_id", "embedding").select("vec_id", F.col("embedding").alias("_v"))
+    arrow_batches(rows.sparkSession)
     element = rows.schema["_v"].dataType.elementType
     square = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sound = F.coalesce(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (square > 0) & (square < float("inf")), F.lit(False))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.llm.records import only
+from cuelattice.llm.records import arrow_batches, only
 
 #: Letter features of the model are hashed to this many values, so a model has languages * FEATURES numbers.
 FEATURES = 1 << 16
@@ -76,6 +76,7 @@ def fit_languages(transcripts: DataFrame, least_script_share: float = 0.001) ->
     its letters.
     """
     rows = only(transcripts, "transcript", "language").where("transcript IS NOT NULL AND language IS NOT NULL")
+    arrow_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, script = _tables()
@@ -195,6 +196,7 @@ def label_languages(transcripts: DataFrame, model: LanguageModel, switch_penalty
     """
     keep = list(dict.fromkeys(["asset_id", *passing]))
     df = only(transcripts, *dict.fromkeys([*keep, "transcript"]))
+    arrow_batches(df.sparkSession)
     shared: Broadcast = df.sparkSession.sparkContext.broadcast(model)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string())]))
     schema = T.StructType([*[df.schema[name] for name in keep], *T._parse_datatype_string("language string, score double, spans array<struct<start:int,end:int,language:string>>").fields])

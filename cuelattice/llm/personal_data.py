@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.llm.byte_bpe import _slices
-from cuelattice.llm.records import only
+from cuelattice.llm.records import arrow_batches, only
 from cuelattice.llm.secret_scan import SPAN, _ARROW_SPANS
 from cuelattice.llm.tagger import DIGIT, SIGNS, Tagger, best_tags, classes, emissions, tag_names, train_tagger
 
@@ -217,6 +217,7 @@ def find_personal_data(transcripts: DataFrame, tagger: Tagger | None, width: int
     are ignored.
     """
     df = only(transcripts, "asset_id", "transcript")
+    arrow_batches(df.sparkSession)
     shared: Broadcast = df.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

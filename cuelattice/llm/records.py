@@ -6,7 +6,7 @@ engine it was imported from); operators name the columns they need and ignore or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space between words and the words themselves.
@@ -38,3 +38,17 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: Column, sa
     """
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
+#: Bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches small in this session, so that rows with long texts need little memory beside the heap.
+
+    A lower limit that the session already has stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB") or 0) > most:
+        spark.conf.set(name, str(most))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cuelattice.llm.byte_bpe import _slices
-from cuelattice.llm.records import only
+from cuelattice.llm.records import arrow_batches, only
 from cuelattice.llm.vocabulary import Vocabulary
 
 #: Fixed patterns of the base kinds, in the order their names are listed in results.
@@ -87,6 +87,7 @@ def find_secrets(transcripts: DataFrame, vocabulary: Vocabulary, most_ratio: flo
     spans; rows that repeat an id stay separate; an empty table gives an empty result; other columns are ignored.
     """
     df = only(transcripts, "asset_id", "transcript")
+    arrow_batches(df.sparkSession)
     key = df.schema["asset_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

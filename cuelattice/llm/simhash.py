@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from cuelattice.llm.buckets import Arrays, bucket_pairs
 from cuelattice.llm.components import components
-from cuelattice.llm.records import only, without
+from cuelattice.llm.records import arrow_batches, only, without
 from cuelattice.session import cut_lineage
 
 BITS = 64
@@ -47,6 +47,7 @@ def fingerprints(transcripts: DataFrame, words: int = 4) -> DataFrame:
     """``asset_id`` and ``bits`` (the fingerprint as a long) of every transcript, from its whole text."""
     df = only(transcripts, "asset_id", "transcript").select("asset_id", F.col("transcript").cast("binary").alias("transcript"))
     schema = T.StructType([df.schema["asset_id"], T.StructField("bits", T.LongType())])
+    arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +232,7 @@ def near_duplicates(
     table gives an empty result; an input column named like a result column is replaced.
     """
     own = without(transcripts, "component_id", "kept")
+    arrow_batches(own.sparkSession)
     text = F.coalesce("transcript", F.lit(""))
     keyed = own.withColumn("_key", F.sha2(text.cast("binary"), 256))
     kind = own.schema["asset_id"]
