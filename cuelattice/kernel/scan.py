@@ -5,8 +5,8 @@ a plain window over the key. Otherwise the series is cut into time chunks: the
 window runs inside ``(keys, chunk)``, each chunk yields one small total, and the
 totals of earlier chunks are carried into its rows, so no task sees a whole key.
 
-``sized_for`` measures the inputs once and fixes the choice for everything built
-inside it; without it each scan measures its own input.
+``sized_for`` measures the inputs once, and scans far below their limit rely on that;
+the others, and scans outside of it, measure their own input.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from cuelattice.session import cut_lineage
 
 CHUNK_MS = 600_000
 KEY_ROWS = 1_000_000
+#: Rows that an operator derives from one source row at most when a measured source stands for its frames.
+FAN_OUT = 16
 _CHUNK = "__chunk"
-_HOT: ContextVar[bool | None] = ContextVar("hot_keys", default=None)
+_HOT: ContextVar[bool | int | None] = ContextVar("hot_keys", default=None)
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int = KEY_ROWS, weight: Column | None = None) -> bool:
@@ -43,16 +45,34 @@ def hot_keys(hot: bool) -> Iterator[None]:
         _HOT.reset(token)
 
 
+def largest_key(df: DataFrame, keys: Sequence[str], weight: Column | None = None) -> int:
+    """Most rows (or summed ``weight``) of any key; one map-side combined count."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return int(df.groupBy(*keys).agg(rows.alias("__rows")).agg(F.max("__rows")).first()[0] or 0)
+
+
 @contextmanager
-def sized_for(*inputs: tuple, limit: int = KEY_ROWS) -> Iterator[None]:
-    """Measure ``(df, keys)`` or ``(df, keys, weight)`` inputs and choose the plan for the block."""
-    with hot_keys(any(has_hot_key(i[0], i[1], limit, i[2] if len(i) > 2 else None) for i in inputs)):
+def sized_for(*inputs: tuple) -> Iterator[None]:
+    """Measure ``(df, keys)`` or ``(df, keys, weight)`` inputs once for the plan choices of the block.
+
+    A scan in it is cold without further ado if the largest key times ``FAN_OUT`` stays below that scan's own limit;
+    otherwise the scan measures the frame it is about to read.
+    """
+    token = _HOT.set(max((largest_key(i[0], i[1], i[2] if len(i) > 2 else None) for i in inputs), default=0))
+    try:
         yield
+    finally:
+        _HOT.reset(token)
 
 
 def is_hot(df: DataFrame, keys: Sequence[str], limit: int = KEY_ROWS) -> bool:
-    fixed = _HOT.get()
-    return has_hot_key(df, keys, limit) if fixed is None else fixed
+    """Whether a key of ``df`` may have more than ``limit`` rows; ``hot_keys`` fixes the answer."""
+    known = _HOT.get()
+    if isinstance(known, bool):
+        return known
+    if known is not None and known * FAN_OUT <= limit:
+        return False
+    return has_hot_key(df, keys, limit)
 
 
 @dataclass(frozen=True)

@@ -63,14 +63,19 @@ def quick_hash(content: Column, size: Column | None = None) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(head, F.coalesce(tail, F.lit(b"")), little), 256))
 
 
-def search_candidates(listing: DataFrame, root: str, max_depth: int = DEFAULT_DEPTH, limit: int = MAX_SCAN_FILES) -> DataFrame:
-    """Media files below a root down to a depth, in path order up to the scan limit, with a truncation flag."""
+def search_candidates(listing: DataFrame, root: str, max_depth: int = DEFAULT_DEPTH, limit: int | None = None) -> DataFrame:
+    """Media files below a root down to a depth.
+
+    With a ``limit`` (a desktop scan stops at ``MAX_SCAN_FILES``) the first files in path order stay and
+    ``truncated`` tells whether others were left out; without one all stay and nothing is sorted.
+    """
     depth = F.size(F.split(F.ltrim(F.substring("path", len(root) + 1, 1_000_000), F.lit("/")), "/"))
     media = listing.where(F.col("path").startswith(root)).where(media_kind(F.col("path")).isNotNull()).withColumn("depth", depth).where(
         F.col("depth") <= min(max_depth, MAX_DEPTH))
+    if limit is None:
+        return media.withColumn("truncated", F.lit(False))
     total = media.agg(F.count(F.lit(1)).alias("__n"))
-    first = media.orderBy("path").limit(limit)
-    return first.join(F.broadcast(total)).withColumn("truncated", F.col("__n") > limit).drop("__n")
+    return media.orderBy("path").limit(limit).join(F.broadcast(total)).withColumn("truncated", F.col("__n") > limit).drop("__n")
 
 
 def relink(missing: DataFrame, found: DataFrame) -> DataFrame:

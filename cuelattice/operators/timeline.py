@@ -624,38 +624,46 @@ def beat_cuts(markers: DataFrame, ranges: DataFrame, keys: list[str], mode: str,
 
 
 def smart_beat_cuts(markers: DataFrame, ranges: DataFrame, keys: list[str], min_shot_ms: float = 350.0, max_shot_ms: float = 4000.0) -> DataFrame:
-    """Best-scoring chain of cuts with bounded shot lengths, one dynamic program per clip.
+    """Chain of cuts with the best score and bounded shot lengths, per clip.
 
-    Only nodes within the longest shot can precede a node, so the program looks back a bounded span.
+    A cut scores its confidence (0.45 more on a downbeat) less 0.28 times the relative distance of its shot from the
+    middle length; the last shot may be 1.35 times as long. Two folds find the chain: one along time links each
+    point to its best predecessor, knowing only the points of the last longest shot, and one against time follows
+    those links back from the end. Both carry a bounded state, so long clips are folded in chunks.
     """
     unique = distinct_markers(markers, keys).join(ranges, keys)
     inside = unique.where(f"timeline_ms >= range_start + {min_shot_ms} AND timeline_ms <= range_end - {min_shot_ms}")
-    target = min(max((min_shot_ms + max_shot_ms) / 2, min_shot_ms), max_shot_ms)
-
-    def solve(rows: list[tuple]) -> list[tuple]:
-        start, end = rows[0][3], rows[0][4]
-        nodes = [(start, 0.0), *[(at, c + (0.45 if d else 0.0)) for at, c, d, _, _ in rows if start < at < end], (end, 0.0)]
-        best, back, low = [0.0] + [float("-inf")] * (len(nodes) - 1), [-1] * len(nodes), 0
-        for right in range(1, len(nodes)):
-            at, gain = nodes[right]
-            reach = max_shot_ms * 1.35 if right == len(nodes) - 1 else max_shot_ms
-            while low < right and at - nodes[low][0] > max_shot_ms * 1.35:
-                low += 1
-            for left in range(low, right):
-                gap = at - nodes[left][0]
-                if min_shot_ms <= gap <= reach:
-                    value = best[left] + gain - abs(gap - target) / max(target, 1.0) * 0.28
-                    if value > best[right]:
-                        best[right], back[right] = value, left
-        path, cursor = [], len(nodes) - 1
-        if back[cursor] < 0:
-            return []
-        while back[cursor] > 0:
-            cursor = back[cursor]
-            path.append((float(nodes[cursor][0]),))
-        return path[::-1]
-
-    return buffered_groups(inside, keys, ["timeline_ms"], ["timeline_ms", "confidence", "downbeat", "range_start", "range_end"], solve, [T.StructField("cut_ms", T.DoubleType())])
+    edges = inside.select(*keys, "range_start", "range_end").distinct().selectExpr(
+        *keys, "explode(array(struct(range_start AS at_ms, 'start' AS role), struct(range_end AS at_ms, 'end' AS role))) AS e").selectExpr(*keys, "e.at_ms AS at_ms", "e.role AS role", "0.0D AS gain")
+    points = inside.selectExpr(*keys, "CAST(timeline_ms AS DOUBLE) AS at_ms", "'cut' AS role", "confidence + IF(downbeat, 0.45D, 0.0D) AS gain").unionByName(
+        edges.withColumn("at_ms", F.col("at_ms").cast("double")))
+    middle = min(max((min_shot_ms + max_shot_ms) / 2, min_shot_ms), max_shot_ms)
+
+    def link(state, point):
+        at, role, gain = point
+        if role == "start":
+            return [[at, 0.0]], [(at, role, None)]
+        longest = max_shot_ms * (1.35 if role == "end" else 1.0)
+        near = [(at_, value) for at_, value in state or [] if at - at_ <= max_shot_ms * 1.35]
+        offers = [(value + gain - abs(at - at_ - middle) / max(middle, 1.0) * 0.28, at_) for at_, value in near if min_shot_ms <= at - at_ <= longest]
+        if not offers:
+            return [list(x) for x in near], []
+        value, came_from = max(offers, key=lambda offer: (offer[0], -offer[1]))
+        return [*[list(x) for x in near], [at, value]], [(at, role, came_from)]
+
+    fields = [T.StructField("at_ms", T.DoubleType()), T.StructField("role", T.StringType()), T.StructField("from_ms", T.DoubleType())]
+    linked = ordered_fold(points, keys, ["at_ms"], ["at_ms", "role", "gain"], link, fields, chunk=time_chunk("at_ms"))
+
+    def follow(wanted, point):
+        at, role, came_from = point
+        if role == "end":
+            return came_from, []
+        if wanted is None or at != wanted or role == "start":
+            return wanted, []
+        return came_from, [(at,)]
+
+    backwards = linked.withColumn("before_end", -F.col("at_ms"))
+    return ordered_fold(backwards, keys, ["before_end"], ["at_ms", "role", "from_ms"], follow, [T.StructField("cut_ms", T.DoubleType())], chunk=time_chunk("before_end"))
 
 
 def first_free_start(requests: DataFrame, clips: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions import lexicons as L
@@ -534,15 +535,17 @@ def _(spark, sf):
     return C.align_edited_text(words, text.join(spans, ["doc_id", "cue_id"]), ["doc_id", "cue_id"])
 
 
-@query("txt_06_edit_distance", with_tables("", """SELECT a.item_id AS a, b.item_id AS b, round(levenshtein(left(a.text, 12), left(b.text, 12)) / greatest(length(left(a.text, 12)), length(left(b.text, 12)), 1)::DOUBLE, 6) AS d
-FROM benchmark a JOIN benchmark b ON a.item_id % 7 = b.item_id % 7 WHERE regexp_matches(a.text || b.text, '^[ -~\\n]*$')""").replace("WITH \n", ""))
+@query("txt_06_edit_distance", """SELECT a, b, round(levenshtein(a_text, b_text) / greatest(length(a_text), length(b_text), 1)::DOUBLE, 6) AS d
+FROM (SELECT item_id AS a, text AS a_text, lead(item_id) OVER w AS b, lead(text) OVER w AS b_text FROM benchmark WINDOW w AS (PARTITION BY item_id % 7 ORDER BY item_id))
+WHERE regexp_matches(a_text || b_text, '^[ -~\\n]*$')""")
 def _(spark, sf):
-    b = spark.read.parquet(f"{sf}/benchmark.parquet")
-    left, right = (b.selectExpr(f"item_id AS {n}", f"text AS {n}_text", "item_id % 7 AS g") for n in ("a", "b"))
-    pairs = left.join(right, "g").where("concat(a_text, b_text) RLIKE '^[ -~\\\\n]*$'")
-    return pairs.select("a", "b", F.round(X.edit_distance_ratio(F.substring("a_text", 1, 12), F.substring("b_text", 1, 12)), 6).alias("d"))
+    """Whole texts of neighbouring items of a class, so the pairs grow with the items."""
+    along = Window.partitionBy(F.col("item_id") % 7).orderBy("item_id")
+    pairs = spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        F.col("item_id").alias("a"), F.col("text").alias("a_text"), F.lead("item_id").over(along).alias("b"), F.lead("text").over(along).alias("b_text"))
+    return pairs.where("concat(a_text, b_text) RLIKE '^[ -~\\\\n]*$'").select("a", "b", F.round(X.edit_distance_ratio(F.col("a_text"), F.col("b_text")), 6).alias("d"))
 
 
-@query("txt_08_safe_id", "SELECT doc_id, coalesce(nullif(left(regexp_replace(left(text, 90), '[^a-zA-Z0-9_-]+', '-', 'g'), 48), ''), 'cue') AS slug FROM documents")
+@query("txt_08_safe_id", "SELECT doc_id, coalesce(nullif(left(regexp_replace(text, '[^a-zA-Z0-9_-]+', '-', 'g'), 48), ''), 'cue') AS slug FROM documents")
 def _(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", X.safe_id(F.substring("text", 1, 90)).alias("slug"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", X.safe_id(F.col("text")).alias("slug"))

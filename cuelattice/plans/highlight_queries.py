@@ -225,7 +225,7 @@ def highlight_plan(spark, sf):
 query("top_06_highlight_planner", with_tables(*PLAN, recursive=True) + f"""
 SELECT c.asset_id, 'short:' || c.start_ms || ':' || c.end_ms AS candidate_id, c.start_ms, c.end_ms, any_value(r.score) AS score,
        any_value(CASE WHEN len(r.found) = 0 THEN '{L.REASON_DEFAULT}' ELSE array_to_string(r.found, ' | ') END) AS reasons,
-       left(string_agg(w.text, ' ' ORDER BY w.start_ms, w.word_idx), 1200) AS transcript
+       string_agg(w.text, ' ' ORDER BY w.start_ms, w.word_idx) AS transcript
 FROM chosen c JOIN ranked r USING (asset_id, start_ms, end_ms)
 JOIN words w ON w.asset_id = c.asset_id AND w.end_ms > c.start_ms AND w.start_ms < c.end_ms GROUP BY 1, 2, 3, 4""", sized="documents")(highlight_plan)
 

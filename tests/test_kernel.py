@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from cuelattice.kernel.fold import ordered_fold
 from cuelattice.kernel.intervals import complement, merge_intervals, overlap_join, step_function
+from cuelattice.kernel import scan
 from cuelattice.kernel.ranges import range_max, range_sums, top_n
 from cuelattice.kernel.scan import Running, as_of, hot_keys, nearest_rank, running, time_chunk
 from cuelattice.kernel.suppress import greedy_suppress
@@ -151,7 +152,7 @@ def test_suppression_rounds_equal_sequential(spark):
     outcomes = []
     for hot, size in ((False, 10**6), (True, 9)):
         with hot_keys(hot):
-            outcomes.append(rows(greedy_suppress(df, ["k"], "s", "e", ["neg", "i"], conflict, 50, chunk_rows=size, width=400), "i"))
+            outcomes.append(rows(greedy_suppress(df, ["k"], "s", "e", ["neg", "i"], conflict, chunk_rows=size, width=400), "i"))
     kept = []
     for _, i, s, _, _ in sorted(cand, key=lambda c: (c[4], c[1])):
         if all(abs(s - o) >= 50 for _, o in kept):
@@ -167,7 +168,7 @@ def test_top_n(spark):
 def test_hot_key_is_measured(spark):
     """Without a fixed choice the scan measures its input; a third of all rows in one key gives the same result."""
     df = spark.range(3_000).selectExpr("IF(id % 3 = 0, 0L, id) AS k", "id AS t", "1 AS v")
-    import cuelattice.kernel.scan as scan
+
 
     plain = running(df, ["k"], ["t"], [Running("s", "sum", F.col("v"))], time_chunk("t", 100)).agg(F.sum("s")).first()[0]
     limit, scan.is_hot.__defaults__ = scan.is_hot.__defaults__, (500,)
@@ -176,3 +177,46 @@ def test_hot_key_is_measured(spark):
     finally:
         scan.is_hot.__defaults__ = limit
     assert plain == split == sum(range(1, 1_001)) + 2_000
+
+
+@pytest.mark.parametrize("size", [10**6, 3])
+def test_suppression_looks_back_as_far_as_the_longest_span(spark, size):
+    """Long spans far before a short one still suppress it, in both plans."""
+    from cuelattice.operators.highlights import overlap_share_conflict
+
+    spans = [(1, 0, 180_000, 0), (1, 70_000, 250_000, 1), (1, 170_000, 190_000, 2), (1, 400_000, 401_000, 3), (1, 400_100, 401_100, 4), (1, 900_000, 1_300_000, 5), (1, 1_200_000, 1_290_000, 6)]
+    df = spark.createDataFrame(spans, "k long, s long, e long, i long")
+    with hot_keys(size < 10):
+        kept = rows(greedy_suppress(df, ["k"], "s", "e", ["i"], overlap_share_conflict, chunk_rows=size, width=60_000), "i")
+    chosen = []
+    for _, s, e, i in spans:
+        if not any(overlap_share_conflict((a, b), (s, e)) for a, b, _ in chosen):
+            chosen.append((s, e, i))
+    assert kept == sorted((i,) for _, _, i in chosen)
+
+
+def test_sparse_waveform_peaks_keep_their_distance(spark):
+    """The least distance follows the sample spacing, however sparse the waveform is."""
+    from cuelattice.operators.highlights import waveform_energy_events
+
+    values = [0.05, 0.9, 0.05, 0.8, 0.05, 0.05, 0.05, 0.7, 0.05, 0.05]
+    wave = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "asset_id long, idx long, value double")
+    assets = spark.createDataFrame([(1, 5_200)], "asset_id long, duration_ms long")
+    assert rows(waveform_energy_events(wave, assets), "at_ms") == [(780,), (3_900,)]
+
+
+def test_long_dictionary_form_blocks_every_word_it_covers(spark):
+    from cuelattice.operators.captions import select_suggestions
+
+    matches = spark.createDataFrame([(1, 0, 20, 21, 0.0, 0, 0), (1, 18, 19, 2, 0.1, 1, 0), (1, 21, 22, 2, 0.2, 2, 0)],
+                                    "asset_id long, first_idx long, last_idx long, n_words int, distance double, entry_ord int, form_ord int")
+    assert rows(select_suggestions(matches), "first_idx") == [(0,), (21,)]
+
+
+def test_measured_sources_do_not_hide_large_frames(spark):
+    """A scan relies on the measured source only if it stays far below its own limit."""
+    df = spark.range(100).selectExpr("1L AS k", "id AS t")
+    with scan.sized_for((df, ["k"])):
+        assert not scan.is_hot(df, ["k"], 100 * scan.FAN_OUT)
+        assert scan.is_hot(df, ["k"], 99)
+        assert not scan.is_hot(df, ["k"], 100)
