@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,32 +148,62 @@ def debounced_writes_stream(edits: DataFrame, delay_ms: int = 1_500, max_wait_ms
     return _stateful(timed, ["project_id"], "project_id long, written_at_ms long, revision long", "first long, last long, pending long", update, lateness)
 
 
-def rolling_mean_stream(samples: DataFrame, window_ms: int = 280, lateness: str = "1 seconds") -> DataFrame:
-    """Centred smoothing online: a sample is emitted once its whole window has arrived."""
-    timed = samples.withColumn("ts", at_time("time_ms")).withWatermark("ts", lateness)
+SMOOTHED = ("x", "y", "width", "height")
+#: Least tolerance of each field around the window's median.
+TOLERANCES = {"x": 0.006, "y": 0.006, "width": 0.01, "height": 0.01}
 
-    def smooth(held: list, upto: int | None) -> tuple[list, list]:
-        out, times = [], [h[0] for h in held]
-        ready = [h for h in held if not h[2] and (upto is None or h[0] + window_ms < upto)]
-        for at, _, _ in ready:
-            near = [v for t, v, _ in held if abs(t - at) <= window_ms]
-            out.append((at, sum(near) / len(near)))
-        done = {h[0] for h in ready}
-        newest = max(times, default=0)
-        kept = [(t, v, seen or t in done) for t, v, seen in held if t + 2 * window_ms >= newest or (t not in done and not seen)]
-        return out, kept
+
+def robust_mean(values: np.ndarray, weights: np.ndarray, least: float) -> float:
+    """Weighted mean of the values within three scaled median deviations of the median; the median if none weighs."""
+    middle = float(np.median(values))
+    near = np.abs(values - middle) <= max(least, 4.4478 * float(np.median(np.abs(values - middle))))
+    mass = float(weights[near].sum())
+    return float((values[near] * weights[near]).sum() / mass) if mass else middle
+
+
+def smoothing_stream(samples: DataFrame, window_ms: int = 280, lateness_ms: int = 1_000) -> DataFrame:
+    """Robust centred smoothing online, as ``smooth_samples`` of the camera operators does it for stored samples.
+
+    ``samples(asset_id, time_ms, x, y, width, height, confidence, state)``. A sample is emitted once rows as late
+    as ``lateness_ms`` can't belong to its window any more; the rest comes when the watermark closes the series. The
+    state of an asset holds the samples of the last two windows and the lateness.
+    """
+    timed = samples.withColumn("ts", at_time("time_ms")).withWatermark("ts", f"{lateness_ms} milliseconds")
+    inputs = ["time_ms", *SMOOTHED, "confidence", "state"]
+
+    def smooth(held: pd.DataFrame, ready: np.ndarray) -> list[tuple]:
+        times = held["time_ms"].to_numpy()
+        first, last = np.searchsorted(times, times - window_ms), np.searchsorted(times, times + window_ms, side="right")
+        sure = np.where(held["tracked"], np.maximum(0.2, held["confidence"]), 0.15)
+        out = []
+        for i in np.flatnonzero(ready):
+            near = slice(first[i], last[i])
+            weights = np.exp(-np.abs(times[near] - times[i]) / max(1, window_ms)) * sure[near]
+            x, y, w, h = (robust_mean(held[f].to_numpy()[near], weights, TOLERANCES[f]) if last[i] - first[i] > 1 else float(held[f].iloc[i]) for f in SMOOTHED)
+            w, h = min(1.0, max(1e-6, w)), min(1.0, max(1e-6, h))
+            out.append((int(times[i]), min(1 - w / 2, max(w / 2, x)), min(1 - h / 2, max(h / 2, y)), w, h))
+        return out
+
+    columns = ["time_ms", *SMOOTHED, "confidence", "tracked", "done"]
 
     def update(key, rows, state):
-        held = list(zip(*state)) if state is not None and len(state[0]) else []
+        held = pd.DataFrame(dict(zip(columns, state, strict=True))) if state is not None else pd.DataFrame(columns=columns)
         if rows is not None:
-            held = sorted([*((int(t), float(v), bool(s)) for t, v, s in held), *((int(t), float(v), False) for t, v in rows[["time_ms", "x"]].itertuples(index=False))])
-        out, kept = smooth(held, None if rows is None else max(h[0] for h in held))
+            fresh = rows[inputs].assign(tracked=rows["state"] == "tracked", done=False).drop(columns="state")
+            held = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
+        held = held.sort_values("time_ms", kind="stable", ignore_index=True)
+        newest = held["time_ms"].max() if len(held) else 0
+        open_ = ~held["done"].to_numpy(dtype=bool)
+        ready = open_ if rows is None else open_ & (held["time_ms"].to_numpy() + window_ms < newest - lateness_ms)
+        out = smooth(held, ready)
         if rows is None:
             return out, None
-        columns = tuple(list(c) for c in zip(*kept)) if kept else ([], [], [])
-        return out, columns
+        held["done"] |= ready
+        kept = held[held["time_ms"] >= newest - lateness_ms - 2 * window_ms] if ready.any() or not open_.any() else held
+        return out, tuple(kept[c].tolist() for c in columns)
 
-    return _stateful(timed, ["asset_id"], "asset_id long, time_ms long, x double", "times array<long>, xs array<double>, done array<boolean>", update, lateness)
+    lists = "time_ms array<long>, x array<double>, y array<double>, width array<double>, height array<double>, confidence array<double>, tracked array<boolean>, done array<boolean>"
+    return _stateful(timed, ["asset_id"], "asset_id long, time_ms long, x double, y double, width double, height double", lists, update, "yes")
 
 
 def accept_revisions_stream(attempts: DataFrame) -> DataFrame:
