@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,17 +28,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; invent one only for a local master."""
+    """Use the folder named by ``spark.checkpoint.dir``; invent one only for a local master.
+
+    Spark gives each application a subfolder of its own there; it goes when the process ends.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif context.master.startswith("local") and "cluster" not in context.master:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cuelattice-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+    atexit.register(drop_intermediate, spark)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results that still read them must be written before."""
+    context = spark.sparkContext
+    if getattr(context, "_jsc", None) is None or context.getCheckpointDir() is None:
+        return
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except (Py4JError, OSError):
+        # The JVM went first.
+        return
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

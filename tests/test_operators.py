@@ -1,5 +1,6 @@
 """Operators whose results the SQL oracle cannot express, against plain Python models and fixed cases."""
 
+import itertools
 import math
 import random
 
@@ -142,3 +143,62 @@ def test_spoken_only_carries_brackets(spark):
 def test_unique_ids_avoid_taken_suffixes(spark):
     cues = spark.createDataFrame([(1, i, c) for i, c in enumerate(["a", "a-2", "a", "", "a"])], "doc_id long, cue_idx long, cue_id string")
     assert rows(C.unique_ids(cues, ["doc_id"], "cue_idx", "cue_id", "cue-"), "cue_idx", "cue_id") == [(0, "a"), (1, "a-2"), (2, "a-3"), (3, "cue-4"), (4, "a-4")]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_smart_cuts_are_the_best_chain(spark, hot):
+    """Against every chain of up to ten markers."""
+    rnd = random.Random(11)
+    markers, spans = [], []
+    for clip in range(12):
+        start, end = 0.0, float(rnd.randrange(4_000, 9_000))
+        spans.append((1, f"c{clip}", start, end))
+        for at in sorted(rnd.sample(range(500, int(end) - 500, 50), 9)):
+            markers.append((1, f"c{clip}", at, rnd.randrange(100) / 100, rnd.random() < 0.3, float(at)))
+    m = spark.createDataFrame(markers, "project_id long, clip_id string, source_ms long, confidence double, downbeat boolean, timeline_ms double")
+    r = spark.createDataFrame(spans, "project_id long, clip_id string, range_start double, range_end double")
+    with hot_keys(hot):
+        got = {}
+        for clip, at in rows(M.smart_beat_cuts(m, r, ["project_id", "clip_id"], 700.0, 2_500.0), "clip_id", "cut_ms"):
+            got.setdefault(clip, []).append(at)
+
+    def score(chain, gains, end):
+        total, last = 0.0, 0.0
+        for at in [*chain, end]:
+            shot = at - last
+            if not 700 <= shot <= 2_500 * (1.35 if at == end else 1):
+                return None
+            total, last = total + gains.get(at, 0.0) - abs(shot - 1_600) / 1_600 * 0.28, at
+        return total
+
+    for _, clip, _, end in spans:
+        gains = {at: c + (0.45 if d else 0) for _, k, _, c, d, at in markers if k == clip and 700 <= at <= end - 700}
+        scores = [s for n in range(len(gains) + 1) for chain in itertools.combinations(sorted(gains), n) if (s := score(chain, gains, end)) is not None]
+        if scores:
+            assert math.isclose(score(got.get(clip, []), gains, end), max(scores), abs_tol=1e-9)
+        else:
+            assert clip not in got
+
+
+def test_edited_text_keeps_speakers_and_marks(spark):
+    words = spark.createDataFrame(
+        [(1, 0, "a0", "one", 0, 90, 0.5, "s1", "en", False), (1, 1, "a1", "two", 100, 190, 0.6, "s1", "en", True), (1, 2, "a2", "three", 200, 290, 0.7, "s2", "tr", False), (1, 3, "a3", "four", 400, 490, 0.8, "s2", "tr", False)],
+        "cue long, word_idx long, word_id string, text string, start_ms long, end_ms long, confidence double, speaker_id string, language string, edited boolean")
+    edits = spark.createDataFrame([(1, "zero one two 3 and four", 0, 1_000), (2, "new words", 50, 60)], "cue long, edited_text string, cue_start long, cue_end long")
+    got = rows(C.align_edited_text(words, edits, ["cue"]), "cue", "word_idx", "word_id", "start_ms", "end_ms", "speaker_id", "language", "edited")
+    assert got == [
+        (1, 0, "edited-word-1", -0, 1, "s1", None, True), (1, 1, "a0", 0, 90, "s1", "en", False), (1, 2, "a1", 100, 190, "s1", "en", True),
+        (1, 3, "edited-word-2", 200, 245, "s2", None, True), (1, 4, "edited-word-3", 245, 290, "s2", None, True), (1, 5, "a3", 400, 490, "s2", "tr", False),
+        (2, 0, "edited-word-1", 50, 55, None, None, True), (2, 1, "edited-word-2", 55, 60, None, None, True),
+    ]
+
+
+def test_face_clusters_switch_and_evict(spark):
+    """A second face takes over once it is seen more often; the first cluster seen is evicted for new ones."""
+    away = [[0.05 + 0.03 * (k % 30), 0.05 + 0.3 * (k // 30), 0.01, 0.01] for k in range(60)]
+    frames = [(1, t * 1_000, [[0.4, 0.4, 0.1, 0.1]] if t < 5 else [away[t % 60]] if t < 40 else [[0.7, 0.2, 0.1, 0.1]]) for t in range(90)]
+    df = spark.createDataFrame(frames, "asset_id long, time_ms long, faces array<array<double>>")
+    got = rows(A.cluster_faces(df), "time_ms", "left", "confidence")
+    first, second = 0.45 - 0.105, 0.75 - 0.105
+    assert len(got) == 90 and all(math.isclose(left, first) for t, left, _ in got if t < 42_000)
+    assert all(math.isclose(left, second) for t, left, _ in got if t >= 46_000)
