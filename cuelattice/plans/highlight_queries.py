@@ -332,7 +332,7 @@ def _(spark, sf):
 def _(spark, sf):
     events = T.audio_events(spark, sf).where("score > 0.05").selectExpr(
         "asset_id", "at_ms", "at_ms + 20000 AS at_end", "score", "event_idx AS ordinal")
-    return H._spaced(events, 20_000, 4, 20_000).select("asset_id", "at_ms", F.round("score", 6).alias("score"), F.lit("energy").alias("kind"))
+    return H._spaced(events, 4).select("asset_id", "at_ms", F.round("score", 6).alias("score"), F.lit("energy").alias("kind"))
 
 
 _HINTS = ", ".join(f"'{w}'" for w in L.LAUGHTER_HINTS)
