@@ -25,21 +25,27 @@ ASS_STYLE_FIELDS = (
 ASS_EVENT_FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
 
 
-def read_caption_files(spark: SparkSession, path: str) -> DataFrame:
-    """Caption files as ``(path, format_hint, text, error)``; oversized or non-UTF-8 files become errors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def caption_texts(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """Texts of the caption files among ``files(path, length, content)``: ``(path, format_hint, text, error)``.
+
+    A byte order mark goes, content that is not UTF-8 becomes an error row, and so do files above ``most_bytes`` if
+    that is given (a desktop import stops at ``MAX_BYTES``). On a listing of binary files the length test is pushed
+    down, so oversized content is never loaded.
+    """
     hint = F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))
-    # The length filter is pushed to the listing, so oversized content is never loaded.
-    fine = files.where(F.col("length") <= MAX_BYTES).where(hint.isin(*EXTENSIONS)).select(
-        "path", hint.alias("format_hint"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw")
-    ).select(
-        "path", "format_hint", F.regexp_replace("raw", "^\\uFEFF", "").alias("text"),
-        F.when(F.col("raw").isNull(), F.lit("invalid-utf8")).alias("error"),
-    )
-    large = files.where(F.col("length") > MAX_BYTES).where(hint.isin(*EXTENSIONS)).select(
-        "path", hint.alias("format_hint"), F.lit(None).cast("string").alias("text"), F.lit("too-large").alias("error")
-    )
-    return fine.unionByName(large)
+    listed = files.withColumn("format_hint", hint).where(F.col("format_hint").isin(*EXTENSIONS))
+    fine = listed if most_bytes is None else listed.where(F.col("length") <= most_bytes)
+    raw = fine.select("path", "format_hint", F.try_validate_utf8(F.col("content").cast("string")).alias("raw"))
+    texts = raw.select("path", "format_hint", F.regexp_replace("raw", "^\\uFEFF", "").alias("text"), F.when(F.col("raw").isNull(), F.lit("invalid-utf8")).alias("error"))
+    if most_bytes is None:
+        return texts
+    large = listed.where(F.col("length") > most_bytes).select("path", "format_hint", F.lit(None).cast("string").alias("text"), F.lit("too-large").alias("error"))
+    return texts.unionByName(large)
+
+
+def read_caption_files(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """``caption_texts`` of all files below a path."""
+    return caption_texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most_bytes)
 
 
 def detect_format(text: Column) -> Column:
