@@ -461,7 +461,18 @@ def _(spark, sf):
     return _r6(M.beat_cuts(markers, _shot_ranges(clips), ["project_id", "clip_id"], "every-2", 900.0), "timeline_ms")
 
 
-@query("edt_14_smart_beat_cuts", sized="lineitem events")
+CHAIN = CUTS.split(", un AS")[0] + """, un AS (SELECT project_id, clip_id, arg_max(t, i) AS t, arg_max(d, i) AS d, arg_max(c, i) AS c FROM dd GROUP BY project_id, clip_id, g)
+, nd AS (SELECT u.project_id, u.clip_id, list_concat([any_value(rs)], list(t ORDER BY t), [any_value(re)]) AS ts, list_concat([0.0::DOUBLE], list(c + CASE WHEN d THEN 0.45 ELSE 0 END::DOUBLE ORDER BY t), [0.0::DOUBLE]) AS gs
+  FROM (SELECT un.*, start_ms::DOUBLE AS rs, (start_ms + duration_ms)::DOUBLE AS re FROM un JOIN clips c ON c.project_id = un.project_id AND c.clip_id = un.clip_id) u WHERE t >= rs + 700 AND t <= re - 700 GROUP BY 1, 2)
+, dp AS (SELECT project_id, clip_id, ts, gs, 1 AS k, [0.0::DOUBLE] AS best, [0::BIGINT] AS prev FROM nd UNION ALL
+  SELECT project_id, clip_id, ts, gs, k + 1, list_append(best, list_max(offers)), list_append(prev, CASE WHEN list_max(offers) IS NULL THEN NULL ELSE list_position(offers, list_max(offers)) END::BIGINT)
+  FROM (SELECT *, list_transform(range(1, k + 1), lambda j: CASE WHEN ts[k + 1] - ts[j] >= 700 AND ts[k + 1] - ts[j] <= CASE WHEN k + 1 = len(ts) THEN 3375.0 ELSE 2500.0 END
+    THEN best[j] + gs[k + 1] - abs(ts[k + 1] - ts[j] - 1600) / 1600 * 0.28 END) AS offers FROM dp WHERE k < len(ts)))
+, bk AS (SELECT project_id, clip_id, ts, prev, prev[k] AS j FROM dp WHERE k = len(ts) UNION ALL SELECT project_id, clip_id, ts, prev, prev[j] FROM bk WHERE j > 1)
+SELECT project_id, clip_id, round(ts[j], 6) AS cut_ms FROM bk WHERE j > 1"""
+
+
+@query("edt_14_smart_beat_cuts", with_tables("clips beats", CHAIN, recursive=True), sized="lineitem events")
 def _(spark, sf):
     clips, markers = _projected(spark, sf)
     return _r6(M.smart_beat_cuts(markers, _shot_ranges(clips), ["project_id", "clip_id"], 700.0, 2500.0), "cut_ms")
