@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cuelattice.session import cut_lineage
 
+#: Links that one task of a round handles at least; small tables need no more tasks and files than that.
+TASK_LINKS = 500_000
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the smallest node it knows. ``links`` has each link once, a < b."""
@@ -38,4 +41,4 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             return held.selectExpr("b AS node", "a AS root").union(held.selectExpr("a AS node", "a AS root").distinct())
         seen = state
-        held = cut_lineage(_small_star(_large_star(held)))
+        held = cut_lineage(_small_star(_large_star(held)).coalesce(-(-2 * state[0] // TASK_LINKS)))
