@@ -15,8 +15,11 @@ from cuelattice.session import cut_lineage
 
 
 def _stored(spark, sf):
-    """Words and segments as stored tables: in production they are tables, here they come from the documents."""
-    return cut_lineage(T.words(spark, sf)), cut_lineage(T.segments(spark, sf).drop("seg_idx"))
+    """Words as they are read from the documents, segments (a row per 17 words) as a stored table.
+
+    Several branches read both. Exploding texts again costs less than writing a second copy of the corpus.
+    """
+    return T.words(spark, sf), cut_lineage(T.segments(spark, sf).drop("seg_idx"))
 
 
 def _inputs(spark, sf):
