@@ -8,7 +8,7 @@ from cuelattice.operators import camera as A
 from cuelattice.operators import series as S
 from cuelattice.plans import tables as T
 from cuelattice.plans.registry import query
-from cuelattice.plans.series_queries import _speech
+from cuelattice.plans.series_queries import ENVELOPE, _speech
 from cuelattice.plans.tables import with_tables
 
 
@@ -77,9 +77,19 @@ def _(spark, sf):
     return A.evaluate_camera(asked, frames).selectExpr("asset_id", "at_ms", "round(x + 1e-9, 6) AS x", "state")
 
 
-@query("win_13_simplify_envelope", sized="events")
+SPLIT = ENVELOPE + """, ep AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY at_ms) AS i FROM env)
+, st AS (SELECT asset_id, min(i) AS lo, max(i) AS hi FROM ep GROUP BY 1 UNION ALL
+  SELECT asset_id, unnest([lo, w]), unnest([w, hi]) FROM (
+    SELECT s.asset_id, lo, hi, arg_max(p.i, (abs(p.gain_db - (l.gain_db + (r.gain_db - l.gain_db) * (p.at_ms - l.at_ms) / (r.at_ms - l.at_ms))), -p.i))
+      FILTER (abs(p.gain_db - (l.gain_db + (r.gain_db - l.gain_db) * (p.at_ms - l.at_ms) / (r.at_ms - l.at_ms))) > 0.35) AS w
+    FROM st s JOIN ep l ON l.asset_id = s.asset_id AND l.i = lo JOIN ep r ON r.asset_id = s.asset_id AND r.i = hi JOIN ep p ON p.asset_id = s.asset_id AND p.i > lo AND p.i < hi
+    GROUP BY s.asset_id, lo, hi) WHERE w IS NOT NULL)
+SELECT asset_id, at_ms, round(gain_db, 6) AS gain_db FROM ep WHERE (asset_id, i) IN (SELECT (asset_id, lo) FROM st UNION ALL SELECT (asset_id, hi) FROM st)"""
+
+
+@query("win_13_simplify_envelope", with_tables("frames", SPLIT, recursive=True), sized="events")
 def _(spark, sf):
-    return A.simplify_gain(S.gain_envelope(*_speech(spark, sf)))
+    return A.simplify_gain(S.gain_envelope(*_speech(spark, sf))).withColumn("gain_db", F.round("gain_db", 6))
 
 
 @query("win_23_face_clusters", sized="events")
