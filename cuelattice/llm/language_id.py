@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.llm.records import arrow_batches, only
+from cuelattice.session import cut_lineage
 
 #: Letter features of the model are hashed to this many values, so a model has languages * FEATURES numbers.
 FEATURES = 1 << 16
@@ -67,13 +68,13 @@ class LanguageModel:
     uses: np.ndarray
 
 
-def fit_languages(transcripts: DataFrame, least_script_share: float = 0.001) -> LanguageModel:
+def fit_languages(transcripts: DataFrame, least_script_share: float = 0.001, most_languages: int = 512) -> LanguageModel:
     """Count letter features and scripts of every labelled transcript, by language.
 
     Needs ``transcript`` and ``language``; rows where either is null teach nothing. Tasks add up their rows in
     arrays of fixed size and only those sums are shuffled. What comes to the driver has languages * (FEATURES +
-    scripts) numbers at most. A language is a candidate for a script that has at least ``least_script_share`` of
-    its letters.
+    scripts) numbers at most, and more than ``most_languages`` labels are an error, so the model that tasks get has
+    a known size. A language is a candidate for a script that has at least ``least_script_share`` of its letters.
     """
     rows = only(transcripts, "transcript", "language").where("transcript IS NOT NULL AND language IS NOT NULL")
     arrow_batches(rows.sparkSession)
@@ -92,7 +93,11 @@ def fit_languages(transcripts: DataFrame, least_script_share: float = 0.001) ->
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["language", "feature", "n"])
 
-    counted = rows.mapInArrow(count, "language string, feature long, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()
+    summed = cut_lineage(rows.mapInArrow(count, "language string, feature long, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")))
+    labels = summed.agg(F.count_distinct("language")).first()[0]
+    if labels > most_languages:
+        raise ValueError(f"{labels} language labels, at most {most_languages} can be learned")
+    counted = summed.toPandas()
     languages = tuple(sorted(counted["language"].unique()))
     sums = np.zeros((FEATURES + len(SCRIPTS), len(languages)))
     sums[counted["feature"].to_numpy(dtype=np.int64), [languages.index(x) for x in counted["language"]]] = counted["n"]

@@ -285,6 +285,8 @@ def test_spans_of_mixed_text_and_scripts(spark, awkward, empty):
     rows = language_id.label_languages(awkward, model, passing=["kept"]).collect()
     assert len(rows) == 13 and {r.language for r in rows if r.asset_id in (1, 2, 3, 8)} == {"und"} and rows[0].kept == "x"
     assert language_id.label_languages(empty, model).count() == 0
+    with pytest.raises(ValueError, match="language labels"):
+        language_id.fit_languages(spark.createDataFrame(train, "transcript string, language string"), most_languages=2)
     nothing = language_id.fit_languages(empty)
     assert {r.language for r in language_id.label_languages(awkward, nothing).collect()} == {"und"}
 
