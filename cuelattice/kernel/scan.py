@@ -56,8 +56,11 @@ def sized_for(*inputs: tuple) -> Iterator[None]:
     """Measure ``(df, keys)`` or ``(df, keys, weight)`` inputs once for the plan choices of the block.
 
     A scan in it is cold without further ado if the largest key times ``FAN_OUT`` stays below that scan's own limit;
-    otherwise the scan measures the frame it is about to read.
+    otherwise the scan measures the frame it is about to read. Inside ``hot_keys`` nothing is measured.
     """
+    if isinstance(_HOT.get(), bool):
+        yield
+        return
     token = _HOT.set(max((largest_key(i[0], i[1], i[2] if len(i) > 2 else None) for i in inputs), default=0))
     try:
         yield
