@@ -106,5 +106,5 @@ def bucket_pairs(
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     again = pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(second, "a long, b long")
-    return links.union(again).distinct()
+    return cut_lineage(links.union(again).distinct())
 

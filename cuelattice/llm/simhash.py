@@ -259,7 +259,7 @@ def near_duplicates(
     table = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(masks) - 1).cast("long")))
     met = nodes.where("some").select("node", "bits", "more", table.alias("mask")).withColumn(
         "under", F.col("bits").bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), (F.col("mask") + 1).cast("int"))))
-    candidates = cut_lineage(bucket_pairs(met, ["mask", "under"], "node", closest_links(farthest), most))
+    candidates = bucket_pairs(met, ["mask", "under"], "node", closest_links(farthest), most)
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "_key"), "node")
     texts = keyed.select("_key", text.cast("binary").alias("transcript")).join(wanted, "_key").groupBy("node").agg(F.first("transcript").alias("transcript"))
     sets = cut_lineage(shingle_sets(texts, words))
@@ -271,10 +271,10 @@ def near_duplicates(
     place = F.struct(F.col("least.none").alias("none"), F.col("least.id").alias("id"), F.col("node").alias("node"))
     groups = members.groupBy("root").agg(F.min(place).alias("best"))
     grouped = members.join(groups, "root").select("node", "best")
-    # Written, so that the last join deals both its sides anew and can split a text with very many rows.
-    decided = cut_lineage(nodes.join(grouped, "node", "left").select(
+    # Dealt by node so far, so the last join deals both its sides anew and can split a text with very many rows.
+    decided = nodes.join(grouped, "node", "left").select(
         "_key", F.coalesce("best.id", "least.id").alias("component_id"), F.coalesce(F.col("best.node") == F.col("node"), F.lit(True)).alias("_best"),
-        F.col("least.id").alias("_least"), "copies"))
+        F.col("least.id").alias("_least"), "copies")
     out = keyed.join(decided, "_key")
     stays = F.col("_best") & F.col("asset_id").eqNullSafe(F.col("_least"))
     single = out.where("copies = 1").withColumn("kept", stays)
