@@ -13,6 +13,8 @@ from cuelattice.llm.records import arrow_batches
 from cuelattice.session import cut_lineage
 
 Arrays = dict[str, np.ndarray]
+#: Rows against rows that one call of a comparison sees, unless a single group has more.
+SQUARES = 1 << 22
 
 
 def _column(array: pa.Array) -> np.ndarray:
@@ -59,6 +61,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: Sequence[str], most: in
         yield held, np.zeros(1, dtype=np.int64), np.array([len(held[key[0]])])
 
 
+def _bounded(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups in runs of at most ``SQUARES`` possible links, so that what is held of the links does not depend on their number."""
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64) ** 2) // SQUARES)) + 1
+    return zip(np.split(starts, ends), np.split(sizes, ends), strict=True)
+
+
 def bucket_pairs(
     rows: DataFrame, bucket: Sequence[str], node: str, compare: Callable[[Arrays, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 2048,
 ) -> DataFrame:
@@ -75,13 +83,14 @@ def bucket_pairs(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, starts, sizes in whole_groups(batches, bucket, most):
-            fit = (sizes > 1) & (sizes <= most)
-            a, b = compare(held, starts[fit], sizes[fit]) if fit.any() else (np.zeros(0, np.int64),) * 2
-            over = starts[sizes > most]
-            pad = np.zeros(len(over), np.int64)
-            ends = [pa.array(np.concatenate((a, pad)), pa.int64()), pa.array(np.concatenate((b, pad)), pa.int64())]
-            keys = [pa.array(np.concatenate((np.zeros(len(a), np.int64), held[k][over])), pa.int64()) for k in bucket]
-            yield pa.RecordBatch.from_arrays([*ends, pa.array(np.arange(len(a) + len(over)) >= len(a)), *keys], ["a", "b", "over", *bucket])
+            fit, over = (sizes > 1) & (sizes <= most), starts[sizes > most]
+            for some, their in _bounded(starts[fit], sizes[fit]):
+                a, b = compare(held, some, their) if len(some) else (np.zeros(0, np.int64),) * 2
+                pad = np.zeros(len(over), np.int64)
+                ends = [pa.array(np.concatenate((a, pad)), pa.int64()), pa.array(np.concatenate((b, pad)), pa.int64())]
+                keys = [pa.array(np.concatenate((np.zeros(len(a), np.int64), held[k][over])), pa.int64()) for k in bucket]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(np.arange(len(a) + len(over)) >= len(a)), *keys], ["a", "b", "over", *bucket])
+                over = over[:0]
 
     schema = "a long, b long, over boolean, " + ", ".join(f"{k} long" for k in bucket)
     dealt = rows.repartition(*bucket).sortWithinPartitions(*bucket)
@@ -101,8 +110,8 @@ def bucket_pairs(
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, starts, sizes in whole_groups(batches, group, 1 << 40):
             several = sizes > 1
-            if several.any():
-                a, b = compare(held, starts[several], sizes[several])
+            for some, their in _bounded(starts[several], sizes[several]) if several.any() else ():
+                a, b = compare(held, some, their)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     again = pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(second, "a long, b long")

@@ -151,7 +151,10 @@ def shared_positions_masks(positions: int, radius: int, parts: int, seed: int =
 
 
 def closest_links(farthest: int):
-    """Comparison for ``bucket_pairs``: of the pairs within ``farthest`` bits all, or in dense groups the closest that connect them."""
+    """Comparison for ``bucket_pairs``: of the pairs within ``farthest`` bits all, or in dense groups the closest that connect them.
+
+    The nodes of a dense group are linked with themselves too, as a note that other pairs of theirs are left over.
+    """
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -161,7 +164,7 @@ def closest_links(farthest: int):
             apart = np.bitwise_count(own[:, None] ^ own[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :])
             i, j = np.nonzero(np.triu(apart <= farthest, 1))
             if len(i) > 4 * size:
-                i, j = _spanning(apart, farthest)
+                i, j = (np.concatenate((x, np.arange(size))) for x in _spanning(apart, farthest))
             left.append(start + i)
             right.append(start + j)
         node = held["node"]
@@ -190,6 +193,31 @@ def _spanning(apart: np.ndarray, farthest: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64)
 
 
+def links_between_groups(farthest: int, masks: list[int]):
+    """Comparison for ``bucket_pairs``: all pairs within ``farthest`` bits whose ``root`` differs, each under the first mask where it meets."""
+    under = np.array(masks, dtype=np.int64).view(np.uint64)
+
+    def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        bits, more, root = held["bits"].view(np.uint64), held["more"].view(np.uint64), held["root"]
+        for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            own, other, group = bits[start : start + size], more[start : start + size], root[start : start + size]
+            if (group == group[0]).all():
+                continue
+            apart = np.bitwise_count(own[:, None] ^ own[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :])
+            i, j = np.nonzero(np.triu((apart <= farthest) & (group[:, None] != group[None, :]), 1))
+            for mask in under[: held["mask"][start]]:
+                new = (own[i] ^ own[j]) & mask != 0
+                i, j = i[new], j[new]
+            left.append(start + i)
+            right.append(start + j)
+        node = held["node"]
+        a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    return compare
+
+
 def remixed(hashes: np.ndarray) -> np.ndarray:
     """Other hashes of the same shingles, for a second fingerprint."""
     x = hashes + np.uint64(0x9E3779B97F4A7C15)
@@ -223,9 +251,10 @@ def near_duplicates(
     Fingerprints are of the sets, 64 bits for the masks and 64 more. Candidates meet under a covering mask and
     differ in at most ``farthest`` of the 128 bits. At a similarity of 0.8 about ten of 64 bits differ, for which masks
     that never miss would be too many; so the masks cover ``radius`` differences within each of ``parts`` choices of positions, whose number grows with the logarithm of
-    the rows such that about ``occupancy`` unrelated fingerprints share a bucket. In dense buckets the candidates
-    are the closest links that connect it, so a group of many near copies needs no pair of each two. Every
-    candidate is verified on whole texts. Measured recall is in the README.
+    the rows such that about ``occupancy`` unrelated fingerprints share a bucket. Every candidate is verified on
+    whole texts. In dense buckets the candidates are at first the closest links that connect it; then all other
+    pairs are that meet and are not yet in one group by verified links. So a group of many near copies needs no
+    pair of each two, and no pair that meets is left out. Measured recall is in the README.
 
     Defined cases: texts without words are grouped if they are equal; null transcripts count as empty; rows that
     repeat an id and a text are equal texts, one of which stays; null asset_ids come last in the smallest; an empty
@@ -259,14 +288,25 @@ def near_duplicates(
     table = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(masks) - 1).cast("long")))
     met = nodes.where("some").select("node", "bits", "more", table.alias("mask")).withColumn(
         "under", F.col("bits").bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), (F.col("mask") + 1).cast("int"))))
-    candidates = bucket_pairs(met, ["mask", "under"], "node", closest_links(farthest), most)
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "_key"), "node")
-    texts = keyed.select("_key", text.cast("binary").alias("transcript")).join(wanted, "_key").groupBy("node").agg(F.first("transcript").alias("transcript"))
-    sets = cut_lineage(shingle_sets(texts, words))
-    pairs = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    links = pairs.where(shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
+    found = bucket_pairs(met, ["mask", "under"], "node", closest_links(farthest), most)
+    candidates = found.where("a < b")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "_key"), "node")
+        texts = keyed.select("_key", text.cast("binary").alias("transcript")).join(wanted, "_key").groupBy("node").agg(F.first("transcript").alias("transcript"))
+        sets = cut_lineage(shingle_sets(texts, words))
+        pairs = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
+        shared = F.size(F.array_intersect("_x", "_y"))
+        return pairs.where(shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
+
+    links = cut_lineage(verified(candidates))
+    dense = found.where("a = b").select(F.col("a").alias("node"))
+    if dense.take(1):
+        roots = F.coalesce("root", "node").alias("root")
+        apart = met.join(dense, "node", "left_semi").join(components(links), "node", "left").select(*met.columns, roots)
+        rest = bucket_pairs(apart, ["mask", "under"], "node", links_between_groups(farthest, masks), most).join(candidates, ["a", "b"], "left_anti")
+        links = links.union(verified(rest))
     members = components(links).join(nodes.select("node", "least"), "node")
     place = F.struct(F.col("least.none").alias("none"), F.col("least.id").alias("id"), F.col("node").alias("node"))
     groups = members.groupBy("root").agg(F.min(place).alias("best"))

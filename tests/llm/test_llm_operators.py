@@ -165,6 +165,20 @@ def test_near_duplicates_in_a_dense_group(spark):
     assert sorted(r.asset_id for r in got) == [0, 150]
 
 
+@pytest.mark.parametrize("most", [50, 1024])
+def test_near_duplicates_among_many_that_share_a_passage(spark, most):
+    rng = random.Random(12)
+    passage = [f"p{rng.randrange(5000)}" for _ in range(240)]
+    rows = [passage + [f"w{rng.randrange(5000)}" for _ in range(42)] for _ in range(300)]
+    rows += [r[:-14] + [f"w{rng.randrange(5000)}" for _ in range(14)] for r in rows[:40]]
+    sets = [{tuple(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert links == [(i, 300 + i) for i in range(40)]
+    table = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "asset_id long, transcript string")
+    got = {r.asset_id: r.component_id for r in simhash.near_duplicates(table, most=most).collect()}
+    assert got == groups_of(links, range(len(rows)))
+
+
 def test_near_duplicates_of_awkward_and_empty_tables(awkward, empty):
     got = simhash.near_duplicates(awkward)
     assert got.columns == [c for c in awkward.columns if c != "kept"] + ["component_id", "kept"]
