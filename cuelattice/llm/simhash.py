@@ -135,19 +135,42 @@ def simhash_groups(transcripts: DataFrame, words: int = 4, radius: int = 4, most
     return rows.join(ids, "bits").select("asset_id", "bits", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shared_positions_masks(positions: int, radius: int, parts: int, seed: int = 5) -> list[int]:
-    """Covering masks over ``parts`` seeded choices of ``positions`` of the 64 bits.
+def plan_samples(rows: int, similarity: float, farthest: int, meeting: float, occupancy: int) -> tuple[int, int]:
+    """Positions of a sample and number of samples of the 128 bits for ``rows`` texts, a rule that is the same at every size.
 
-    A choice covers every pair that differs in at most ``radius`` of its own positions, wherever else it differs, so
-    pairs farther apart than the radius are found too: by some of the choices, and the more surely the closer.
+    A sample has as many positions as leave about ``occupancy`` unrelated fingerprints with equal bits there. Of a
+    pair at exactly ``similarity`` each bit differs with the same probability; there are so many samples that the
+    pair is within ``farthest`` bits and equal in one sample at least with a probability of ``meeting``.
     """
-    count = (1 << (radius + 1)) - 1
-    rng, masks = np.random.default_rng(seed), []
-    for _ in range(parts):
-        chosen = rng.permutation(BITS)[:positions]
-        vectors = 1 + rng.permutation(positions) % count
-        masks += [sum(1 << int(p) for p, x in zip(chosen, vectors, strict=True) if (int(x) & v).bit_count() & 1) for v in range(1, count + 1)]
-    return [mask - (1 << BITS) if mask >> (BITS - 1) else mask for mask in masks]
+    total = 2 * BITS
+    positions = min(total, max(0, math.ceil(math.log2(max(1, rows / occupancy)))))
+    differs = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    d = range(min(farthest, total) + 1)
+    share = np.array([math.comb(total, k) * differs**k * (1 - differs) ** (total - k) for k in d])
+    equal = np.array([math.comb(total - k, positions) / math.comb(total, positions) for k in d])
+    if share.sum() <= meeting:
+        raise ValueError(f"pairs of similarity {similarity} are within {farthest} bits with a probability of {share.sum():.4f} only, below {meeting}")
+
+    def chance(samples: int) -> float:
+        return float((share * (1 - (1 - equal) ** samples)).sum())
+
+    most = 1
+    while chance(most) < meeting:
+        most *= 2
+    least = most // 2
+    while most - least > 1:
+        middle = (least + most) // 2
+        least, most = (least, middle) if chance(middle) >= meeting else (middle, most)
+    return positions, most
+
+
+def sample_masks(positions: int, samples: int, seed: int = 5) -> np.ndarray:
+    """Seeded samples of ``positions`` of the 128 bits: a mask of ``bits`` and one of ``more`` (as longs) for each."""
+    rng = np.random.default_rng(seed)
+    chosen = np.zeros((samples, 2 * BITS), dtype=np.uint8)
+    for row in chosen:
+        row[rng.permutation(2 * BITS)[:positions]] = 1
+    return np.packbits(chosen, axis=1, bitorder="little").view("<i8")
 
 
 def closest_links(farthest: int):
@@ -193,9 +216,9 @@ def _spanning(apart: np.ndarray, farthest: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64)
 
 
-def links_between_groups(farthest: int, masks: list[int]):
+def links_between_groups(farthest: int, masks: np.ndarray):
     """Comparison for ``bucket_pairs``: all pairs within ``farthest`` bits whose ``root`` differs, each under the first mask where it meets."""
-    under = np.array(masks, dtype=np.int64).view(np.uint64)
+    under = masks.view(np.uint64)
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -206,9 +229,10 @@ def links_between_groups(farthest: int, masks: list[int]):
                 continue
             apart = np.bitwise_count(own[:, None] ^ own[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :])
             i, j = np.nonzero(np.triu((apart <= farthest) & (group[:, None] != group[None, :]), 1))
-            for mask in under[: held["mask"][start]]:
-                new = (own[i] ^ own[j]) & mask != 0
-                i, j = i[new], j[new]
+            one, two = own[i] ^ own[j], other[i] ^ other[j]
+            for mask, beyond in under[: held["mask"][start]]:
+                new = (one & mask | two & beyond) != 0
+                i, j, one, two = i[new], j[new], one[new], two[new]
             left.append(start + i)
             right.append(start + j)
         node = held["node"]
@@ -240,7 +264,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(
-    transcripts: DataFrame, words: int = 5, similarity: float = 0.8, farthest: int = 34, radius: int = 3, parts: int = 10, occupancy: int = 32, most: int = 1024,
+    transcripts: DataFrame, words: int = 5, similarity: float = 0.8, farthest: int = 34, meeting: float = 0.999, occupancy: int = 32, most: int = 1024,
 ) -> DataFrame:
     """Mark transcripts whose shingle sets are similar, found by SimHash and verified.
 
@@ -248,10 +272,10 @@ def near_duplicates(
     asset_id of its group) and ``kept`` (true for exactly one row of each group). Transcripts are linked if the sets
     of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or more; equal texts are one node.
 
-    Fingerprints are of the sets, 64 bits for the masks and 64 more. Candidates meet under a covering mask and
-    differ in at most ``farthest`` of the 128 bits. At a similarity of 0.8 about ten of 64 bits differ, for which masks
-    that never miss would be too many; so the masks cover ``radius`` differences within each of ``parts`` choices of positions, whose number grows with the logarithm of
-    the rows such that about ``occupancy`` unrelated fingerprints share a bucket. Every candidate is verified on
+    Fingerprints of the sets have 128 bits. Candidates are equal in one of several seeded samples of the positions and
+    differ in at most ``farthest`` bits. The positions of a sample grow with the logarithm of the rows, so that about
+    ``occupancy`` unrelated fingerprints share a bucket, and the samples with them (``plan_samples``), so that a pair
+    at ``similarity`` becomes a candidate with a probability of ``meeting`` at every size. Every candidate is verified on
     whole texts. In dense buckets the candidates are at first the closest links that connect it; then all other
     pairs are that meet and are not yet in one group by verified links. So a group of many near copies needs no
     pair of each two, and no pair that meets is left out. Measured recall is in the README.
@@ -283,12 +307,13 @@ def near_duplicates(
     # Written, so that the numbers given to distinct texts stay the same for all readers.
     nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()))
     count = nodes.count()
-    positions = min(BITS, max(radius + 1, math.ceil(15 / 8 * math.log2(max(2, count / occupancy)))))
-    masks = shared_positions_masks(positions, radius, parts)
+    masks = sample_masks(*plan_samples(count, similarity, farthest, meeting, occupancy))
     table = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(masks) - 1).cast("long")))
-    met = nodes.where("some").select("node", "bits", "more", table.alias("mask")).withColumn(
-        "under", F.col("bits").bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), (F.col("mask") + 1).cast("int"))))
-    found = bucket_pairs(met, ["mask", "under"], "node", closest_links(farthest), most)
+    bucket = ["mask", "under", "beyond"]
+    met = nodes.where("some").select("node", "bits", "more", table.alias("mask")).withColumns({
+        name: F.col(own).bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in column.tolist()]), (F.col("mask") + 1).cast("int")))
+        for name, own, column in (("under", "bits", masks[:, 0]), ("beyond", "more", masks[:, 1]))})
+    found = bucket_pairs(met, bucket, "node", closest_links(farthest), most)
     candidates = found.where("a < b")
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -305,7 +330,7 @@ def near_duplicates(
     if dense.take(1):
         roots = F.coalesce("root", "node").alias("root")
         apart = met.join(dense, "node", "left_semi").join(components(links), "node", "left").select(*met.columns, roots)
-        rest = bucket_pairs(apart, ["mask", "under"], "node", links_between_groups(farthest, masks), most).join(candidates, ["a", "b"], "left_anti")
+        rest = bucket_pairs(apart, bucket, "node", links_between_groups(farthest, masks), most).join(candidates, ["a", "b"], "left_anti")
         links = links.union(verified(rest))
     members = components(links).join(nodes.select("node", "least"), "node")
     place = F.struct(F.col("least.none").alias("none"), F.col("least.id").alias("id"), F.col("node").alias("node"))

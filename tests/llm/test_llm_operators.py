@@ -165,6 +165,20 @@ def test_near_duplicates_in_a_dense_group(spark):
     assert sorted(r.asset_id for r in got) == [0, 150]
 
 
+@pytest.mark.parametrize("rows", [50, 20_000, 1_000_000, 10_000_000])
+def test_near_duplicates_meet_as_often_at_every_size(rows):
+    masks = simhash.sample_masks(*simhash.plan_samples(rows, 0.8, 34, 0.999, 32)).view(np.uint64)
+    rng = np.random.default_rng(4)
+    met = []
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 900, dtype=np.uint64)
+        a, b = x[:800], np.concatenate((x[:711], x[800:889]))  # of similarity 711 / 889 = 0.7998
+        bits = [np.array([simhash.fingerprint(h), simhash.fingerprint(simhash.remixed(h))]).view(np.uint64) for h in (a, b)]
+        apart = bits[0] ^ bits[1]
+        met.append(bool(np.bitwise_count(apart).sum() <= 34 and ((apart & masks) == 0).all(axis=1).any()))
+    assert sum(met) >= 1990
+
+
 @pytest.mark.parametrize("most", [50, 1024])
 def test_near_duplicates_among_many_that_share_a_passage(spark, most):
     rng = random.Random(12)
