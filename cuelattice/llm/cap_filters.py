@@ -18,9 +18,13 @@ from cuelattice.llm.records import arrow_batches, only
 from cuelattice.session import cut_lineage
 
 
-def _tail(z: np.ndarray | float) -> np.ndarray:
-    """Share of a normal distribution above z."""
-    return np.vectorize(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))(z)
+@lru_cache(maxsize=8)
+def _caps(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles from 0 to pi, and the share of the unit sphere within each of a direction."""
+    angles = np.linspace(0, math.pi, 20_001)
+    density = np.sin(angles) ** (dimension - 2)
+    share = np.concatenate(([0.0], np.cumsum((density[1:] + density[:-1]) / 2)))
+    return angles, share / share[-1]
 
 
 @dataclass(frozen=True)
@@ -33,8 +37,11 @@ class CapPlan:
     words: int
 
 
-def plan_caps(rows: int, cosine: float, occupancy: int, common: float, codes: int, most_words: int = 512) -> CapPlan:
-    """Filters for ``rows`` vectors, a rule that is the same at every size.
+def plan_caps(rows: int, dimension: int, cosine: float, occupancy: int, common: float, codes: int, most_words: int = 512) -> CapPlan:
+    """Filters for ``rows`` vectors of a dimension, a rule that is the same at every size.
+
+    Rotations make every filter a uniform direction on the sphere, so shares are those of spherical caps; dimensions
+    below 4 count as 4.
 
     The cap is as high as leaves ``occupancy`` unrelated vectors in a filter; the number of filters is what gives
     a pair at exactly ``cosine`` an expected ``common`` filters in common (closer pairs have more). The filters are
@@ -43,13 +50,17 @@ def plan_caps(rows: int, cosine: float, occupancy: int, common: float, codes: in
     needs more than ``most_words`` words.
     """
     share = min(0.25, occupancy / max(rows, 1))
-    low, high = 0.0, 12.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if _tail(middle) > share else (low, middle)
-    x = np.linspace(low, low + 8, 4001)
-    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    both = float(np.sum(density * _tail((low - cosine * x) / math.sqrt(1 - cosine * cosine))) * (x[1] - x[0]))
+    n = max(4, dimension)
+    angles, within = _caps(n)
+    top = float(np.interp(share, within, angles))
+    low = math.cos(top)
+    # The product with one vector is cos(x); that with the other then depends on a direction in one dimension less.
+    x = np.linspace(0, top, 4001)[1:]
+    need = np.clip((low - cosine * np.cos(x)) / (math.sqrt(1 - cosine * cosine) * np.sin(x)), -1, 1)
+    other = np.interp(np.arccos(need), *_caps(n - 1))
+    density = np.sin(x) ** (n - 2) / np.sum((np.sin(angles) ** (n - 2))[1:] * (angles[1] - angles[0]))
+    both = float(np.sum(density * other) * (x[1] - x[0]))
+    low *= math.sqrt(dimension)
     filters = common / max(both, 1e-300) / codes
     blocks = 2
     while filters ** (1 / blocks) > most_words:
@@ -150,14 +161,14 @@ def embedding_groups(
     grouped = rows.where("_ok").groupBy("_v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     # Written, so that the numbers given to distinct vectors stay the same for all readers.
     distinct = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()))
-    plan = plan_caps(distinct.count(), cosine, occupancy, common, codes)
+    plans = {r.n: plan_caps(r["count"], r.n, cosine, occupancy, common, codes) for r in distinct.groupBy(F.size("_v").alias("n")).count().collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 vectors = [np.asarray(v.values) for v in part.column("_v")]
-                filters = [decoded(v / np.linalg.norm(v), plan, seed) for v in (x.astype(np.float64) for x in vectors)]
+                filters = [decoded(v / np.linalg.norm(v), plans[len(v)], seed) for v in (x.astype(np.float64) for x in vectors)]
                 times = [len(f) for f in filters]
                 lengths = np.repeat([len(v) for v in vectors], times)
                 values = pa.array(np.concatenate([np.tile(v, n) for v, n in zip(vectors, times, strict=True)]))

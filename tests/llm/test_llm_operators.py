@@ -236,6 +236,14 @@ def test_embedding_recall_at_the_threshold(spark):
     assert cap_filters.embedding_groups(table).where("n_links > 0").count() >= 1980
 
 
+@pytest.mark.parametrize("rows", [2_000, 200_000, 2_000_000])
+def test_embedding_filters_in_common_at_every_size(rows):
+    plan = cap_filters.plan_caps(rows, 64, 0.9, 32, 20.0, 16)
+    pairs = zip(*unit_pairs(np.random.default_rng(8), 100, 0.9), strict=True)
+    common = [len(np.intersect1d(cap_filters.decoded(x, plan, 3), cap_filters.decoded(y, plan, 3))) for x, y in pairs]
+    assert 16 <= np.mean(common) <= 24
+
+
 def test_embeddings_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])]
