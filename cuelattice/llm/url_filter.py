@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm.records import arrow_batches, only, without
+from cuelattice.session import cut_lineage
 
 #: Letters of a name between its signs and digits.
 PIECE = re.compile(r"[^\W\d_]+")
@@ -60,6 +61,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
 
 def _bounded(counts: DataFrame, key: str) -> tuple[dict[str, float], float]:
     """Rows of a count table with at least ``LEAST_SHARE`` of all counts, and the sum of all; at most a million rows."""
+    counts = cut_lineage(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     held = counts.where(F.col("n") >= LEAST_SHARE * total).select(key, "n").toPandas()
     return dict(zip(held[key], held["n"].astype(float), strict=True)), float(total)
