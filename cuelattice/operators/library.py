@@ -53,25 +53,32 @@ def inspect_media(requested: DataFrame, listing: DataFrame) -> DataFrame:
     return joined.select("path", file_name(F.col("path")).alias("file_name"), "kind", F.col("size_bytes").isNotNull().alias("exists"), "size_bytes", error.alias("error"))
 
 
-def quick_hash(content: Column, size: Column | None = None) -> Column:
-    """SHA-256 over the first and last 64 KiB and the little-endian size."""
-    size = F.octet_length(content).cast("long") if size is None else size
+def quick_hash_of(head: Column, tail: Column, size: Column) -> Column:
+    """SHA-256 over a head, a tail (null if the head is all) and the little-endian size."""
     digits = F.lpad(F.hex(size), 16, "0")
     little = F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]))
-    head = F.substring(content, 1, SAMPLE_BYTES)
-    tail = F.when(size > SAMPLE_BYTES, F.substring(content, -SAMPLE_BYTES, SAMPLE_BYTES))
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(head, F.coalesce(tail, F.lit(b"")), little), 256))
 
 
+def quick_hash(content: Column, size: Column | None = None) -> Column:
+    """Quick hash of a column with whole contents: the first and last 64 KiB and the size.
+
+    Files too large for a column are read by ``sources.media_ranges``.
+    """
+    size = F.octet_length(content).cast("long") if size is None else size
+    tail = F.when(size > SAMPLE_BYTES, F.substring(content, -SAMPLE_BYTES, SAMPLE_BYTES))
+    return quick_hash_of(F.substring(content, 1, SAMPLE_BYTES), tail, size)
+
+
 def search_candidates(listing: DataFrame, root: str, max_depth: int = DEFAULT_DEPTH, limit: int | None = None) -> DataFrame:
-    """Media files below a root down to a depth.
+    """Media files below a root down to a depth (a desktop scan allows ``MAX_DEPTH`` at most).
 
     With a ``limit`` (a desktop scan stops at ``MAX_SCAN_FILES``) the first files in path order stay and
     ``truncated`` tells whether others were left out; without one all stay and nothing is sorted.
     """
     depth = F.size(F.split(F.ltrim(F.substring("path", len(root) + 1, 1_000_000), F.lit("/")), "/"))
     media = listing.where(F.col("path").startswith(root)).where(media_kind(F.col("path")).isNotNull()).withColumn("depth", depth).where(
-        F.col("depth") <= min(max_depth, MAX_DEPTH))
+        F.col("depth") <= max_depth)
     if limit is None:
         return media.withColumn("truncated", F.lit(False))
     total = media.agg(F.count(F.lit(1)).alias("__n"))

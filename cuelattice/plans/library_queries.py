@@ -10,6 +10,7 @@ from cuelattice.plans import tables as T
 from cuelattice.plans.registry import query
 from cuelattice.plans.tables import with_tables
 from cuelattice.sources import logs as G
+from cuelattice.sources.media_ranges import media_ranges, quick_hashes
 
 KIND = "CASE WHEN ext IN (" + ", ".join(f"'{e}'" for e in B.VIDEO) + ") THEN 'video' WHEN ext IN (" + ", ".join(f"'{e}'" for e in B.AUDIO) + ") THEN 'audio' WHEN ext IN (" + ", ".join(f"'{e}'" for e in B.IMAGE) + ") THEN 'image' END"
 # File names derived from pages: the last URL piece with one of several extensions.
@@ -53,6 +54,12 @@ def _(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", B.quick_hash(F.encode("text", "UTF-8")).alias("quick_hash"))
 
 
+@query("src_12_quick_hash_files")
+def _(spark, sf):
+    """The given tables as the files they are: heads and tails by range reads."""
+    return quick_hashes(media_ranges(spark, sf, "*.parquet")).select(B.file_name(F.col("path")).alias("file_name"), "size_bytes", "quick_hash", "error")
+
+
 @query("src_13_search_roots", with_tables("media_found", """, l AS (SELECT '/root' || path AS path, len(string_split(path, '/')) - 2 AS depth FROM media_found WHERE split_part(path, '/', 3)::INT < 5)
 SELECT path, depth::BIGINT AS depth, (SELECT count(*) FROM l) > 100000 AS truncated FROM l ORDER BY path LIMIT 100000"""))
 def _(spark, sf):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuelattice.kernel.intervals import merge_intervals
 from cuelattice.kernel.scan import Running, running
+from cuelattice.operators import scoring as M
 from cuelattice.operators import series as S
 from cuelattice.plans import tables as T
 from cuelattice.plans.registry import query
@@ -92,6 +94,26 @@ def _(spark, sf):
     return S.frame_pcm(pcm, gain="0.5D").withColumns({"sum_squares": F.round("sum_squares", 6), "peak": F.round("peak", 6)})
 
 
+#: Scores of the tabled model by steps of the largest magnitude.
+SCORE_TABLE = tuple((k * 7 % 16) / 15 for k in range(16))
+
+
+@query("udf_04_frame_scores", f"""
+WITH RECURSIVE e AS (SELECT label::BIGINT AS asset_id, vec_id, embedding, sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id) - len(embedding) AS base FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+x AS (SELECT asset_id, base + p AS i, least(1, abs(embedding[p + 1])) AS v FROM (SELECT *, unnest(range(0, len(embedding))) AS p FROM e)),
+f AS (SELECT asset_id, (i // 512)::BIGINT AS frame_idx, count(*) AS sample_count, max(v) AS own, max(v) FILTER (i % 512 >= 448) AS last FROM x GROUP BY ALL),
+s AS (SELECT *, {list(SCORE_TABLE)}[least(15, floor(greatest(own, coalesce(lag(last) OVER (PARTITION BY asset_id ORDER BY frame_idx), 0))::DOUBLE * 16)::INT) + 1]::DOUBLE AS score FROM f),
+r AS (SELECT asset_id, frame_idx, sample_count, 0.5::DOUBLE * score AS p FROM s WHERE frame_idx = 0
+  UNION ALL SELECT s.asset_id, s.frame_idx, s.sample_count, 0.5::DOUBLE * r.p + 0.5::DOUBLE * s.score FROM r JOIN s ON s.asset_id = r.asset_id AND s.frame_idx = r.frame_idx + 1)
+SELECT asset_id, frame_idx, sample_count, (frame_idx * 512 * 1000 // 16000)::BIGINT AS at_ms, (((frame_idx * 512 + sample_count) * 1000 + 15999)::BIGINT // 16000)::BIGINT AS end_ms, round(p, 9) AS probability FROM r""")
+def _(spark, sf):
+    pcm = spark.read.parquet(f"{sf}/embeddings.parquet").where("forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))").selectExpr(
+        "CAST(label AS BIGINT) AS asset_id", "vec_id AS chunk_no", "embedding AS samples")
+    model = M.frame_model(spark, np.array(SCORE_TABLE, dtype="<f8").tobytes(), M.PeakTable.build)
+    return M.score_frames(pcm, model, section_frames=64, warm_up=64).withColumn("probability", F.round("probability", 9))
+
+
 @query("agg_08_bpm", with_tables("beats", """, g AS (SELECT asset_id, source_ms - lag(source_ms) OVER (PARTITION BY asset_id ORDER BY source_ms, event_id) AS gap FROM beats)
 SELECT asset_id, round(60000 / median(gap), 6) AS bpm FROM g WHERE gap BETWEEN 100 AND 3000 GROUP BY 1"""), sized="events")
 def _(spark, sf):
