@@ -16,21 +16,32 @@ from cuelattice.streaming.drain import drain
 CLOSING_USER, CLOSING_EVENT = -1, 40
 
 
+#: Slices in which the events are delivered, each a span of time; a batch is a file of one at most.
+SLICES, SPAN_MS = 4, 31 * 86_400_000
+LATENESS, WEEK_MS = f"{SPAN_MS} milliseconds", 7 * 86_400_000
+
+
 def _events(spark, sf):
-    """Events as a stream that ends; media time is event time in whole milliseconds, read as UTC.
+    """Events as a stream that ends, delivered in time order by several files; media time is event time in milliseconds.
 
-    A closing row, thirty days after the last event and of a user of its own, is read with the others. It moves the
-    watermark past every real row, so whatever is still open is closed and emitted; its own state never is.
+    The table is written again in slices of time, one after the other, and read file by file. A closing row, ninety
+    days after the last event and of a user of its own, comes last. It moves the watermark past every real row,
+    so whatever is still open is closed and emitted; its own state never is.
     """
     static = spark.read.parquet(f"{sf}/events.parquet")
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/closing-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/slices-{uuid.uuid4().hex}"
+    least, most = static.agg(F.min("ts"), F.max("ts")).first()
+    ends = [] if least is None else [least + (most - least) / SLICES * k for k in range(1, SLICES)]
+    for k in range(SLICES):
+        after = F.lit(True) if k == 0 or not ends else F.col("ts") >= F.lit(ends[k - 1])
+        before = F.lit(True) if k == SLICES - 1 or not ends else F.col("ts") < F.lit(ends[k])
+        static.where(after & before).write.mode("append").parquet(folder)
     last = static.agg(F.coalesce(F.max("ts"), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))).alias("ts"))
-    closing = {"event_id": F.lit(CLOSING_EVENT), "user_id": F.lit(CLOSING_USER), "ts": F.col("ts") + F.expr("INTERVAL 30 DAYS"), "value": F.lit(0.0)}
-    last.select(*[closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in static.schema.fields]).write.parquet(folder)
-    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    both = stream.unionByName(spark.readStream.schema(static.schema).parquet(folder))
-    return both.withColumn("ms", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) DIV 1000")).drop("ts")
+    closing = {"event_id": F.lit(CLOSING_EVENT), "user_id": F.lit(CLOSING_USER), "ts": F.col("ts") + F.expr("INTERVAL 90 DAYS"), "value": F.lit(0.0)}
+    last.select(*[closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in static.schema.fields]).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.withColumn("ms", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) DIV 1000")).drop("ts")
 
 
 def _rows(spark, sf):
@@ -46,7 +57,7 @@ LOUD = f"SELECT user_id AS asset_id, {MS} AS at_ms, -60 + (CAST(floor(value * 10
 SELECT asset_id, at_ms, loudness_db FROM b WHERE r = 1""")
 def _(spark, sf):
     points = _events(spark, sf).selectExpr("user_id AS asset_id", "ms AS at_ms", "-60 + (CAST(floor(value * 10) AS BIGINT) % 600) / 10.0D AS loudness_db")
-    return drain(J.bucket_peaks_stream(points, 600_000), spark)
+    return drain(J.bucket_peaks_stream(points, 600_000, LATENESS), spark)
 
 
 @query("str_03_session_stream", f"""WITH f AS (SELECT user_id AS asset_id, {MS} // 3600 AS t, ((event_id * 53) % 101) / 100.0::DOUBLE AS s, CASE WHEN event_id % 2 = 0 THEN 'Laughter' ELSE 'Giggle' END AS l FROM events)
@@ -56,7 +67,7 @@ SELECT asset_id, CASE WHEN label = 'Giggle' THEN 'giggle' ELSE 'laughter' END AS
 WHERE (frame_count >= 2 OR confidence >= 0.55)""")
 def _(spark, sf):
     frames = _events(spark, sf).selectExpr("user_id AS asset_id", "ms DIV 3600 AS t", "((event_id * 53) % 101) / 100.0D AS s", "IF(event_id % 2 = 0, 'Laughter', 'Giggle') AS l")
-    return drain(J.class_sessions_stream(frames, 0.35), spark).withColumn("average_confidence", F.round("average_confidence", 6))
+    return drain(J.class_sessions_stream(frames, 0.35, f"{SPAN_MS // 3600} milliseconds"), spark).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
 SPEECH = f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY at_ms) AS i FROM (SELECT user_id AS asset_id, {MS} AS at_ms, {MS} + 32 AS end_ms, ((event_id // 3 * 37) % 101) / 100.0::DOUBLE AS p FROM events))
@@ -74,7 +85,7 @@ SELECT asset_id, arg_max(speech, i), max(last) FROM w GROUP BY 1 HAVING arg_max(
 @query("str_04_speech_stream", SPEECH)
 def _(spark, sf):
     frames = _events(spark, sf).selectExpr("user_id AS asset_id", "ms AS at_ms", "ms + 32 AS end_ms", "((event_id DIV 3 * 37) % 101) / 100.0D AS speech_probability")
-    return drain(J.speech_segments_stream(frames), spark)
+    return drain(J.speech_segments_stream(frames, LATENESS, SPAN_MS, WEEK_MS, wait=True), spark)
 
 
 TRACK = f"SELECT user_id AS asset_id, {MS} AS time_ms, 0.3 + (event_id * 17 % 41) / 100.0::DOUBLE AS x, 0.3 + (event_id * 23 % 41) / 100.0::DOUBLE AS y, (event_id * 37 % 101) / 100.0::DOUBLE AS confidence, CASE WHEN event_id % 4 = 0 THEN 'held' ELSE 'tracked' END AS state FROM events"
@@ -88,7 +99,7 @@ def _(spark, sf):
     samples = _events(spark, sf).selectExpr(
         "user_id AS asset_id", "ms AS time_ms", "0.3D + (event_id * 17 % 41) / 100.0D AS x", "0.3D + (event_id * 23 % 41) / 100.0D AS y", "0.2D AS width", "0.3D AS height",
         "(event_id * 37 % 101) / 100.0D AS confidence", "IF(event_id % 4 = 0, 'held', 'tracked') AS state")
-    return drain(J.smoothing_stream(samples, 3_600_000), spark).selectExpr("asset_id", "time_ms", "round(x, 6) AS x", "round(y, 6) AS y")
+    return drain(J.smoothing_stream(samples, 3_600_000, SPAN_MS, WEEK_MS), spark).selectExpr("asset_id", "time_ms", "round(x, 6) AS x", "round(y, 6) AS y")
 
 
 DEBOUNCED = f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY at_ms, revision) AS i FROM (SELECT user_id AS project_id, {MS} AS at_ms, event_id AS revision FROM events))
@@ -101,7 +112,7 @@ SELECT project_id, out_at AS written_at_ms, out_r AS revision FROM w WHERE out_a
 @query("str_05_debounce_stream", DEBOUNCED)
 def _(spark, sf):
     edits = _events(spark, sf).selectExpr("user_id AS project_id", "ms AS at_ms", "event_id AS revision")
-    return drain(J.debounced_writes_stream(edits, 3_600_000, 36_000_000), spark)
+    return drain(J.debounced_writes_stream(edits, 3_600_000, 36_000_000, LATENESS, WEEK_MS, wait=True), spark)
 
 
 @query("str_06_revision_stream", """WITH RECURSIVE a AS (SELECT user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'c' || ((event_id + 1) % 4) END AS base, 'C' || (event_id % 4) AS ck FROM events)

@@ -6,15 +6,15 @@ watermark (late rows are dropped) are additions of this engine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelattice.operators import series as S
+from cuelattice.streaming.ordered import Fold, ordered_state
+
+#: Width of the buckets in which rows wait for their turn: time of a key, and numbers of a key without event time.
+BUCKET_MS, BUCKET_ROWS = 60_000, 8192
 
 
 def at_time(ms: str = "at_ms") -> F.col:
@@ -42,31 +42,6 @@ def class_sessions_stream(frames: DataFrame, min_confidence: float, lateness: st
         "peak AS confidence", "mean AS average_confidence", "frame_count")
 
 
-def _stateful(rows: DataFrame, keys: list[str], output: str, state: str, update, lateness: str | None) -> DataFrame:
-    """Keyed state over event-time ordered micro-batches; ``update(key, rows, state) -> (outputs, state)``.
-
-    ``rows`` is None when the watermark passed the stored deadline; then the state is removed.
-    """
-    names = [part.split()[0] for part in output.split(", ")]
-    wait = GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        held = group.get if group.exists else None
-        if group.hasTimedOut:
-            out, _ = update(key, None, held)
-            group.remove()
-        else:
-            merged = pd.concat(list(batches), ignore_index=True)
-            out, held = update(key, merged, held)
-            group.update(held)
-            if lateness:
-                newest = int(pd.to_datetime(merged["ts"]).max().timestamp() * 1000)
-                group.setTimeoutTimestamp(max(newest, group.getCurrentWatermarkMs()) + 1_000)
-        yield pd.DataFrame([(*key, *o) for o in out], columns=names)
-
-    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", wait)
-
-
 def job_progress_stream(lines: DataFrame) -> DataFrame:
     """Latest progress values of each job, emitted at every ``progress=`` line."""
 
@@ -77,10 +52,10 @@ def job_progress_stream(lines: DataFrame) -> DataFrame:
             return None
         return value if 0 <= value < float("inf") else None
 
-    def update(key, rows, state):
+    def step(rows, state, _):
         frame, speed, encoded, exact = state or (None, None, 0, False)
         out = []
-        for line, seq in rows.sort_values("seq")[["line", "seq"]].itertuples(index=False):
+        for seq, line in rows:
             name, _, value = line.strip().partition("=")
             if name == "out_time_us" or (name == "out_time_ms" and not exact):
                 encoded, exact = (int(value) if value.isdigit() else 0) // 1000, exact or name == "out_time_us"
@@ -92,60 +67,62 @@ def job_progress_stream(lines: DataFrame) -> DataFrame:
                 out.append((seq, encoded, frame, speed, value == "end"))
         return out, (frame, speed, encoded, exact)
 
-    return _stateful(lines, ["job_id"], "job_id long, seq long, encoded_ms long, frame long, speed double, finished boolean", "frame long, speed double, encoded long, exact boolean", update, None)
+    fold = Fold({"seq": "bigint", "line": "string"}, "frame long, speed double, encoded long, exact boolean", step)
+    return ordered_state(lines, "job_id", fold, "job_id long, seq long, encoded_ms long, frame long, speed double, finished boolean", BUCKET_ROWS, None)
 
 
-def speech_segments_stream(frames: DataFrame, lateness: str = "5 seconds") -> DataFrame:
-    """Online hysteresis: raw speech spans as they close; the watermark closes the last one.
+def speech_segments_stream(frames: DataFrame, lateness: str = "5 seconds", idle_ms: int = 1_000, bucket_ms: int = BUCKET_MS, wait: bool = False) -> DataFrame:
+    """Online hysteresis: raw speech spans as they close; a timer closes the last one ``idle_ms`` after the last frame.
 
-    Padding and merging of neighbouring spans follow as in the batch form.
+    Frames are taken in time order, as the batch form does; with ``wait`` also where they come late. Padding and merging of neighbouring spans follow as there.
     """
-    timed = frames.withColumn("ts", at_time("end_ms")).withWatermark("ts", lateness)
 
-    def update(key, rows, state):
+    def step(rows, state, _):
         speech, silence, last = state or (None, None, 0)
         out = []
-        if rows is None:
-            if speech is not None and last - speech >= S.MIN_SPEECH_MS:
-                out.append((speech, last))
-            return out, None
-        for at, end, p in rows.sort_values("at_ms")[["at_ms", "end_ms", "speech_probability"]].itertuples(index=False):
-            last = int(end)
+        for at, end, p in rows:
+            last = end
             if speech is None:
                 if p >= S.OPEN_AT:
-                    speech, silence = int(at), None
+                    speech, silence = at, None
             elif p >= S.CLOSE_BELOW:
                 silence = None
             else:
-                silence = int(at) if silence is None else silence
+                silence = at if silence is None else silence
                 if end - silence >= S.MIN_SILENCE_MS:
                     if silence - speech >= S.MIN_SPEECH_MS:
                         out.append((speech, silence))
                     speech, silence = None, None
         return out, (speech, silence, last)
 
-    return _stateful(timed, ["asset_id"], "asset_id long, start_ms long, end_ms long", "speech long, silence long, last long", update, lateness)
+    def finish(state):
+        speech, _, last = state
+        return [(speech, last)] if speech is not None and last - speech >= S.MIN_SPEECH_MS else []
+
+    fold = Fold({"at_ms": "bigint", "end_ms": "bigint", "speech_probability": "double"}, "speech long, silence long, last long", step, lambda state: state[2] + idle_ms, finish)
+    return ordered_state(frames, "asset_id", fold, "asset_id long, start_ms long, end_ms long", bucket_ms, lateness, wait)
+
 
+def debounced_writes_stream(edits: DataFrame, delay_ms: int = 1_500, max_wait_ms: int = 15_000, lateness: str = "1 seconds", bucket_ms: int = BUCKET_MS, wait: bool = False) -> DataFrame:
+    """Debounced autosave: a write once edits pause, at the latest after the maximum wait; a timer stands for the clock.
+
+    With ``wait`` edits that come late are taken in their order of time.
+    """
 
-def debounced_writes_stream(edits: DataFrame, delay_ms: int = 1_500, max_wait_ms: int = 15_000, lateness: str = "1 seconds") -> DataFrame:
-    """Debounced autosave: a write once edits pause, at the latest after the maximum wait."""
-    timed = edits.withColumn("ts", at_time()).withWatermark("ts", lateness)
+    def due(state):
+        return min(state[1] + delay_ms, state[0] + max_wait_ms)
 
-    def update(key, rows, state):
-        if rows is None:
-            return ([] if state is None else [(min(state[1] + delay_ms, state[0] + max_wait_ms), state[2])]), None
+    def step(rows, state, _):
         out = []
-        for at, revision in rows.sort_values(["at_ms", "revision"])[["at_ms", "revision"]].itertuples(index=False):
-            at, revision = int(at), int(revision)
-            if state is not None:
-                due = min(state[1] + delay_ms, state[0] + max_wait_ms)
-                if at >= due:
-                    out.append((due, int(state[2])))
-                    state = None
+        for at, revision in rows:
+            if state is not None and at >= due(state):
+                out.append((due(state), state[2]))
+                state = None
             state = (at, at, revision) if state is None else (state[0], at, revision)
         return out, state
 
-    return _stateful(timed, ["project_id"], "project_id long, written_at_ms long, revision long", "first long, last long, pending long", update, lateness)
+    fold = Fold({"at_ms": "bigint", "revision": "bigint"}, "first long, last long, pending long", step, due, lambda state: [(due(state), state[2])])
+    return ordered_state(edits, "project_id", fold, "project_id long, written_at_ms long, revision long", bucket_ms, lateness, wait)
 
 
 SMOOTHED = ("x", "y", "width", "height")
@@ -161,61 +138,58 @@ def robust_mean(values: np.ndarray, weights: np.ndarray, least: float) -> float:
     return float((values[near] * weights[near]).sum() / mass) if mass else middle
 
 
-def smoothing_stream(samples: DataFrame, window_ms: int = 280, lateness_ms: int = 1_000) -> DataFrame:
+def smoothing_stream(samples: DataFrame, window_ms: int = 280, lateness_ms: int = 1_000, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Robust centred smoothing online, as ``smooth_samples`` of the camera operators does it for stored samples.
 
-    ``samples(asset_id, time_ms, x, y, width, height, confidence, state)``. A sample is emitted once rows as late
-    as ``lateness_ms`` can't belong to its window any more; the rest comes when the watermark closes the series. The
-    state of an asset holds the samples of the last two windows and the lateness.
+    ``samples(asset_id, time_ms, x, y, width, height, confidence, state)``. A sample is emitted once all of its window
+    has come in order; what is left comes when a timer closes the series a window after its last sample. The state of
+    an asset holds the samples that windows still to come need: those of two windows at most beside the bucket.
     """
-    timed = samples.withColumn("ts", at_time("time_ms")).withWatermark("ts", f"{lateness_ms} milliseconds")
-    inputs = ["time_ms", *SMOOTHED, "confidence", "state"]
+    numbers = (*SMOOTHED, "confidence", "tracked")
 
-    def smooth(held: pd.DataFrame, ready: np.ndarray) -> list[tuple]:
-        times = held["time_ms"].to_numpy()
+    def smooth(held: list[np.ndarray], ready: slice) -> list[tuple]:
+        times, confidence, tracked = held[0], held[5], held[6] > 0
         first, last = np.searchsorted(times, times - window_ms), np.searchsorted(times, times + window_ms, side="right")
-        sure = np.where(held["tracked"], np.maximum(0.2, held["confidence"]), 0.15)
+        sure = np.where(tracked, np.maximum(0.2, confidence), 0.15)
         out = []
-        for i in np.flatnonzero(ready):
+        for i in range(*ready.indices(len(times))):
             near = slice(first[i], last[i])
             weights = np.exp(-np.abs(times[near] - times[i]) / max(1, window_ms)) * sure[near]
-            x, y, w, h = (robust_mean(held[f].to_numpy()[near], weights, TOLERANCES[f]) if last[i] - first[i] > 1 else float(held[f].iloc[i]) for f in SMOOTHED)
+            x, y, w, h = (robust_mean(column[near], weights, TOLERANCES[f]) if last[i] - first[i] > 1 else float(column[i]) for f, column in zip(SMOOTHED, held[1:5], strict=True))
             w, h = min(1.0, max(1e-6, w)), min(1.0, max(1e-6, h))
             out.append((int(times[i]), min(1 - w / 2, max(w / 2, x)), min(1 - h / 2, max(h / 2, y)), w, h))
         return out
 
-    columns = ["time_ms", *SMOOTHED, "confidence", "tracked", "done"]
+    def step(rows, state, until):
+        fresh = [np.array(c) for c in zip(*rows, strict=True)]
+        done, held = (0, fresh) if state is None else (state[0], [np.concatenate((np.array(a), b)) for a, b in zip(state[1:], fresh, strict=True)])
+        # Later samples are at ``until`` or after it.
+        ready = int(np.searchsorted(held[0], until - window_ms, side="left"))
+        out = smooth(held, slice(done, ready))
+        ready = max(done, ready)
+        gone = int(np.searchsorted(held[0], held[0][ready] - window_ms)) if ready < len(held[0]) else int(np.searchsorted(held[0], until - window_ms))
+        return out, (ready - gone, *(c[gone:].tolist() for c in held))
 
-    def update(key, rows, state):
-        held = pd.DataFrame(dict(zip(columns, state, strict=True))) if state is not None else pd.DataFrame(columns=columns)
-        if rows is not None:
-            fresh = rows[inputs].assign(tracked=rows["state"] == "tracked", done=False).drop(columns="state")
-            held = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
-        held = held.sort_values("time_ms", kind="stable", ignore_index=True)
-        newest = held["time_ms"].max() if len(held) else 0
-        open_ = ~held["done"].to_numpy(dtype=bool)
-        ready = open_ if rows is None else open_ & (held["time_ms"].to_numpy() + window_ms < newest - lateness_ms)
-        out = smooth(held, ready)
-        if rows is None:
-            return out, None
-        held["done"] |= ready
-        kept = held[held["time_ms"] >= newest - lateness_ms - 2 * window_ms] if ready.any() or not open_.any() else held
-        return out, tuple(kept[c].tolist() for c in columns)
+    def finish(state):
+        return smooth([np.array(c) for c in state[1:]], slice(state[0], None))
 
-    lists = "time_ms array<long>, x array<double>, y array<double>, width array<double>, height array<double>, confidence array<double>, tracked array<boolean>, done array<boolean>"
-    return _stateful(timed, ["asset_id"], "asset_id long, time_ms long, x double, y double, width double, height double", lists, update, "yes")
+    lists = "done long, time_ms array<long>, " + ", ".join(f"{n} array<double>" for n in numbers)
+    fold = Fold({"time_ms": "bigint", **dict.fromkeys(numbers, "double")}, lists, step, lambda state: (state[1][-1] if state[1] else 0) + window_ms, finish)
+    marked = samples.withColumn("tracked", (F.col("state") == "tracked").cast("double"))
+    return ordered_state(marked, "asset_id", fold, "asset_id long, time_ms long, x double, y double, width double, height double", bucket_ms, f"{lateness_ms} milliseconds", wait=True)
 
 
 def accept_revisions_stream(attempts: DataFrame) -> DataFrame:
     """Serial optimistic saves per project in arrival order."""
 
-    def update(key, rows, state):
+    def step(rows, state, _):
         head = state[0] if state else None
         out = []
-        for number, base, checksum in rows.sort_values("attempt_no")[["attempt_no", "base_checksum", "checksum"]].itertuples(index=False):
-            ok = base is None or base != base or (head is not None and base.strip().lower() == head.strip().lower())
+        for number, base, checksum in rows:
+            ok = base is None or (head is not None and base.strip().lower() == head.strip().lower())
             head = checksum if ok else head
-            out.append((int(number), bool(ok)))
+            out.append((number, ok))
         return out, (head,)
 
-    return _stateful(attempts, ["project_id"], "project_id long, attempt_no long, accepted boolean", "head string", update, None)
+    fold = Fold({"attempt_no": "bigint", "base_checksum": "string", "checksum": "string"}, "head string", step)
+    return ordered_state(attempts, "project_id", fold, "project_id long, attempt_no long, accepted boolean", BUCKET_ROWS, None)

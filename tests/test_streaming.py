@@ -1,5 +1,6 @@
 """A drained stream gives what the batch form gives."""
 
+import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -33,6 +34,46 @@ def test_speech_segments(spark, tmp_path):
     assert padded == batch[: len(padded)] and len(padded) >= len(batch) - 1
 
 
+def test_a_key_with_more_rows_than_a_batch_holds(spark, tmp_path):
+    """One asset, Arrow batches of 100 rows, files out of order inside the lateness: the fold still sees time order."""
+    speech = "CASE WHEN id % 60 < 25 THEN 0.9D WHEN id % 60 = 30 THEN 0.4D ELSE 0.1D END"
+    df = spark.range(3000).selectExpr("1L AS asset_id", "id * 32 AS at_ms", "(id + 1) * 32 AS end_ms", f"{speech} AS speech_probability", "CAST(id DIV 1000 AS INT) AS part")
+    late = df.withColumn("part", F.expr("CASE WHEN at_ms % 5 = 0 AND part < 2 THEN part + 1 ELSE part END"))
+    end = spark.sql("SELECT 9L AS asset_id, 9000000L AS at_ms, 9000032L AS end_ms, 0.0D AS speech_probability, 3 AS part")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    try:
+        stream = J.speech_segments_stream(replay(spark, late.unionByName(end), tmp_path, 4), "60 seconds", 1_000, 3_200, wait=True)
+        got = rows(drain(stream, spark).where("asset_id = 1"), "start_ms", "end_ms")
+    finally:
+        spark.conf.set(name, before)
+    batch = rows(S.speech_segments(df.drop("part")), "start_ms", "end_ms")
+    assert len(got) == len(batch) > 40
+    # The last span ends with the asset, where padding can't go further.
+    assert [(max(0, s - S.PAD_MS), min(e + S.PAD_MS, 96_000)) for s, e in got] == batch
+
+
+def test_smoothing(spark, tmp_path):
+    df = spark.range(600).selectExpr(
+        "id % 2 AS asset_id", "id * 20 AS time_ms", "0.3D + (id * 17 % 41) / 100.0D AS x", "0.3D + (id * 23 % 41) / 100.0D AS y", "0.2D AS width", "0.3D AS height",
+        "(id * 37 % 101) / 100.0D AS confidence", "IF(id % 4 = 0, 'held', 'tracked') AS state", "CAST(id DIV 200 AS INT) AS part")
+    end = spark.sql("SELECT 9L AS asset_id, 900000L AS time_ms, 0.5D AS x, 0.5D AS y, 0.2D AS width, 0.3D AS height, 1.0D AS confidence, 'tracked' AS state, 3 AS part")
+    stream = J.smoothing_stream(replay(spark, df.unionByName(end), tmp_path, 4), bucket_ms=700)
+    got = {(r.asset_id, r.time_ms): (round(r.x, 9), round(r.y, 9)) for r in drain(stream, spark).where("asset_id < 9").collect()}
+    held = {}
+    for r in df.collect():
+        held.setdefault(r.asset_id, []).append(r)
+    want = {}
+    for asset, own in held.items():
+        for c in own:
+            near = [n for n in own if abs(n.time_ms - c.time_ms) <= 280]
+            weights = np.array([np.exp(-abs(n.time_ms - c.time_ms) / 280) * (max(0.2, n.confidence) if n.state == "tracked" else 0.15) for n in near])
+            x, y = (J.robust_mean(np.array([n[f] for n in near]), weights, J.TOLERANCES[f]) for f in ("x", "y"))
+            want[asset, c.time_ms] = (round(min(0.9, max(0.1, x)), 9), round(min(0.85, max(0.15, y)), 9))
+    assert got == want
+
+
 def test_revisions(spark, tmp_path):
     df = spark.range(60).selectExpr("id % 4 AS project_id", "id AS attempt_no", "IF(id % 7 = 0, NULL, concat('c', (id + 2) % 5)) AS base_checksum", "concat('C', id % 5) AS checksum", "CAST(id DIV 25 AS INT) AS part")
     got = rows(drain(J.accept_revisions_stream(replay(spark, df, tmp_path)), spark), "project_id", "attempt_no", "accepted")
