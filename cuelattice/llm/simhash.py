@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,75 +173,88 @@ def sample_masks(positions: int, samples: int, seed: int = 5) -> np.ndarray:
     return np.packbits(chosen, axis=1, bitorder="little").view("<i8")
 
 
-def closest_links(farthest: int):
-    """Comparison for ``bucket_pairs``: of the pairs within ``farthest`` bits all, or in dense groups the closest that connect them.
+#: Low bits of a bucket's number that hold the number of its sample; the others are a hash of the sampled bits.
+SAMPLE_BITS = 16
 
-    The nodes of a dense group are linked with themselves too, as a note that other pairs of theirs are left over.
-    """
+
+def _near(held: Arrays, start: int, size: int, farthest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a bucket that are within ``farthest`` bits and have different roots."""
+    bits, more, root = (held[c][start : start + size].view(np.uint64) for c in ("bits", "more", "root"))
+    apart = np.bitwise_count(bits[:, None] ^ bits[None, :])
+    apart += np.bitwise_count(more[:, None] ^ more[None, :])
+    return np.nonzero(np.triu((apart <= farthest) & (root[:, None] != root[None, :]), 1))
+
+
+def partners(farthest: int):
+    """Comparison for ``bucket_pairs``: (node, bucket) of every row with a partner in its bucket; not the pairs."""
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        bits, more = held["bits"].view(np.uint64), held["more"].view(np.uint64)
+        found = [np.zeros(0, np.int64)]
         for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            own, other = bits[start : start + size], more[start : start + size]
-            apart = np.bitwise_count(own[:, None] ^ own[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :])
-            i, j = np.nonzero(np.triu(apart <= farthest, 1))
-            if len(i) > 4 * size:
-                i, j = (np.concatenate((x, np.arange(size))) for x in _spanning(apart, farthest))
-            left.append(start + i)
-            right.append(start + j)
-        node = held["node"]
-        a, b = node[np.concatenate(left)], node[np.concatenate(right)]
-        return np.minimum(a, b), np.maximum(a, b)
+            i, j = _near(held, start, size, farthest)
+            if len(i):
+                found.append(start + np.union1d(i, j))
+        at = np.concatenate(found)
+        return held["node"][at], held["bucket"][at]
 
     return compare
 
 
-def _spanning(apart: np.ndarray, farthest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shortest links that connect what links up to ``farthest`` connect, one node at a time."""
-    n = len(apart)
-    away, source = apart[0].astype(np.int32), np.zeros(n, np.int64)
-    away[0] = 1 << 20
-    i, j, done = [], [], np.zeros(n, bool)
-    done[0] = True
-    for _ in range(n - 1):
-        k = int(np.where(done, 1 << 20, away).argmin())
-        if away[k] <= farthest:
-            i.append(source[k])
-            j.append(k)
-        done[k] = True
-        closer = apart[k] < away
-        away = np.where(closer, apart[k], away)
-        source = np.where(closer, k, source)
-    return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64)
-
-
-def links_between_groups(farthest: int, masks: np.ndarray):
-    """Comparison for ``bucket_pairs``: all pairs within ``farthest`` bits whose ``root`` differs, each under the first mask where it meets."""
+def similar_forest(farthest: int, similarity: float, masks: np.ndarray):
+    """Comparison for ``bucket_pairs``: verified links that connect what is similar in a bucket, no more than needed.
+
+    A pair within ``farthest`` bits is verified on its shingle sets unless it is connected by then, or has met under
+    an earlier sample, where it was verified.
+    """
     under = masks.view(np.uint64)
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        bits, more, root = held["bits"].view(np.uint64), held["more"].view(np.uint64), held["root"]
+        left, right = [], []
+        bits, more, sets = held["bits"].view(np.uint64), held["more"].view(np.uint64), held["shingles"]
         for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            own, other, group = bits[start : start + size], more[start : start + size], root[start : start + size]
-            if (group == group[0]).all():
-                continue
-            apart = np.bitwise_count(own[:, None] ^ own[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :])
-            i, j = np.nonzero(np.triu((apart <= farthest) & (group[:, None] != group[None, :]), 1))
-            one, two = own[i] ^ own[j], other[i] ^ other[j]
-            for mask, beyond in under[: held["mask"][start]]:
+            i, j = _near(held, start, size, farthest)
+            one, two = bits[start + i] ^ bits[start + j], more[start + i] ^ more[start + j]
+            for mask, beyond in under[: held["bucket"][start] & ((1 << SAMPLE_BITS) - 1)]:
+                if not len(i):
+                    break
                 new = (one & mask | two & beyond) != 0
                 i, j, one, two = i[new], j[new], one[new], two[new]
-            left.append(start + i)
-            right.append(start + j)
+            nearest = np.argsort(np.bitwise_count(one) + np.bitwise_count(two), kind="stable")
+            parent = {}
+
+            def top(x: int) -> int:
+                while x in parent:  # noqa: B023
+                    x = parent[x]  # noqa: B023
+                return x
+
+            roots = held["root"][start : start + size].tolist()
+            for x, y in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
+                p, q = top(roots[x]), top(roots[y])
+                if p == q:
+                    continue
+                a, b = sets[start + x], sets[start + y]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    continue
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                if shared >= similarity * (len(a) + len(b) - shared):
+                    parent[p] = q
+                    left.append(start + x)
+                    right.append(start + y)
         node = held["node"]
-        a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+        a, b = node[np.array(left, dtype=np.int64)], node[np.array(right, dtype=np.int64)]
         return np.minimum(a, b), np.maximum(a, b)
 
     return compare
 
 
+def rounds_of(samples: int) -> list[tuple[int, int]]:
+    """Samples (from, to) of each round: few at first, so that dense groups are one before most samples are dealt."""
+    ends = [0]
+    while ends[-1] < samples:
+        ends.append(min(samples, ends[-1] + min(64, 2 * 4 ** (len(ends) - 1))))
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def remixed(hashes: np.ndarray) -> np.ndarray:
     """Other hashes of the same shingles, for a second fingerprint."""
     x = hashes + np.uint64(0x9E3779B97F4A7C15)
@@ -263,8 +276,20 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "transcript").mapInArrow(run, "node long, shingles array<long>")
 
 
+def _bucketed(rows: DataFrame, masks: np.ndarray, low: int, high: int) -> DataFrame:
+    """A row per text and sample: its numbers, and the ``bucket`` of equal sampled bits, which names the sample in its low bits."""
+    sample = F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("_sample")
+
+    def part(own: str, column: np.ndarray) -> Column:
+        return F.col(own).bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in column[low:high].tolist()]), (F.col("_sample") - low + 1).cast("int")))
+
+    hashed = F.xxhash64("_sample", part("bits", masks[:, 0]), part("more", masks[:, 1]))
+    bucket = hashed.bitwiseAND(F.lit(-1 << SAMPLE_BITS).cast("long")).bitwiseOR(F.col("_sample")).alias("bucket")
+    return rows.select("*", sample).select("node", "bits", "more", "root", bucket)
+
+
 def near_duplicates(
-    transcripts: DataFrame, words: int = 5, similarity: float = 0.8, farthest: int = 34, meeting: float = 0.999, occupancy: int = 32, most: int = 1024,
+    transcripts: DataFrame, words: int = 5, similarity: float = 0.8, farthest: int = 34, meeting: float = 0.999, occupancy: int = 256, most: int = 2048,
 ) -> DataFrame:
     """Mark transcripts whose shingle sets are similar, found by SimHash and verified.
 
@@ -275,10 +300,13 @@ def near_duplicates(
     Fingerprints of the sets have 128 bits. Candidates are equal in one of several seeded samples of the positions and
     differ in at most ``farthest`` bits. The positions of a sample grow with the logarithm of the rows, so that about
     ``occupancy`` unrelated fingerprints share a bucket, and the samples with them (``plan_samples``), so that a pair
-    at ``similarity`` becomes a candidate with a probability of ``meeting`` at every size. Every candidate is verified on
-    whole texts. In dense buckets the candidates are at first the closest links that connect it; then all other
-    pairs are that meet and are not yet in one group by verified links. So a group of many near copies needs no
-    pair of each two, and no pair that meets is left out. Measured recall is in the README.
+    at ``similarity`` becomes a candidate with a probability of ``meeting`` at every size.
+
+    Samples are dealt in rounds. A round deals a row of five numbers per text and sample and keeps the rows that have
+    a partner of another group in their bucket; only these meet their shingle sets, bucket by bucket, where every
+    candidate is verified that is not connected by then, and only links that connect leave the task. So no unverified
+    pair is ever a row, a group of many near copies needs no pair of each two, and every pair that meets is
+    verified or connected. Groups are contracted between the rounds. Measured recall is in the README.
 
     Defined cases: texts without words are grouped if they are equal; null transcripts count as empty; rows that
     repeat an id and a text are equal texts, one of which stays; null asset_ids come last in the smallest; an empty
@@ -306,33 +334,24 @@ def near_duplicates(
     distinct = marked.groupBy("_key").agg(F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("some").alias("some"), first.alias("least"), F.count("*").alias("copies"))
     # Written, so that the numbers given to distinct texts stay the same for all readers.
     nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()))
-    count = nodes.count()
-    masks = sample_masks(*plan_samples(count, similarity, farthest, meeting, occupancy))
-    table = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(masks) - 1).cast("long")))
-    bucket = ["mask", "under", "beyond"]
-    met = nodes.where("some").select("node", "bits", "more", table.alias("mask")).withColumns({
-        name: F.col(own).bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in column.tolist()]), (F.col("mask") + 1).cast("int")))
-        for name, own, column in (("under", "bits", masks[:, 0]), ("beyond", "more", masks[:, 1]))})
-    found = bucket_pairs(met, bucket, "node", closest_links(farthest), most)
-    candidates = found.where("a < b")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "_key"), "node")
-        texts = keyed.select("_key", text.cast("binary").alias("transcript")).join(wanted, "_key").groupBy("node").agg(F.first("transcript").alias("transcript"))
-        sets = cut_lineage(shingle_sets(texts, words))
-        pairs = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
-        shared = F.size(F.array_intersect("_x", "_y"))
-        return pairs.where(shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
-
-    links = cut_lineage(verified(candidates))
-    dense = found.where("a = b").select(F.col("a").alias("node"))
-    if dense.take(1):
-        roots = F.coalesce("root", "node").alias("root")
-        apart = met.join(dense, "node", "left_semi").join(components(links), "node", "left").select(*met.columns, roots)
-        rest = bucket_pairs(apart, bucket, "node", links_between_groups(farthest, masks), most).join(candidates, ["a", "b"], "left_anti")
-        links = links.union(verified(rest))
-    members = components(links).join(nodes.select("node", "least"), "node")
+    masks = sample_masks(*plan_samples(nodes.count(), similarity, farthest, meeting, occupancy))
+    roots = nodes.where("some").select("node", "bits", "more", F.col("node").alias("root"))
+    links = sets = None
+    for low, high in rounds_of(len(masks)):
+        flagged = cut_lineage(bucket_pairs(_bucketed(roots, masks, low, high), ["bucket"], "node", partners(farthest), most).toDF("node", "bucket"))
+        wanted = flagged.select("node").distinct()
+        if sets is not None:
+            wanted = wanted.join(sets, "node", "left_anti")
+        keys = nodes.join(wanted, "node", "left_semi").select("node", "_key")
+        texts = keyed.select("_key", text.cast("binary").alias("transcript")).join(keys, "_key").groupBy("node").agg(F.first("transcript").alias("transcript"))
+        more_sets = cut_lineage(shingle_sets(texts, words))
+        sets = more_sets if sets is None else sets.union(more_sets)
+        full = flagged.join(roots, "node").join(sets, "node")
+        found = bucket_pairs(full, ["bucket"], "node", similar_forest(farthest, similarity, masks), most)
+        links = found if links is None else cut_lineage(links.union(found))
+        grouped = components(links)
+        roots = cut_lineage(nodes.where("some").select("node", "bits", "more").join(grouped, "node", "left").select("node", "bits", "more", F.coalesce("root", "node").alias("root")))
+    members = roots.select("node", "root").join(nodes.select("node", "least"), "node")
     place = F.struct(F.col("least.none").alias("none"), F.col("least.id").alias("id"), F.col("node").alias("node"))
     groups = members.groupBy("root").agg(F.min(place).alias("best"))
     grouped = members.join(groups, "root").select("node", "best")
