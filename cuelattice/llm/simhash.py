@@ -177,21 +177,31 @@ def sample_masks(positions: int, samples: int, seed: int = 5) -> np.ndarray:
 SAMPLE_BITS = 16
 
 
-def _near(held: Arrays, start: int, size: int, farthest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of a bucket that are within ``farthest`` bits and have different roots."""
+def _near(held: Arrays, start: int, size: int, farthest: int, under: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a bucket and their distance, of those within ``farthest`` bits that have different roots and meet for the first time.
+
+    A pair that is equal under an earlier sample was in one bucket there.
+    """
     bits, more, root = (held[c][start : start + size].view(np.uint64) for c in ("bits", "more", "root"))
     apart = np.bitwise_count(bits[:, None] ^ bits[None, :])
     apart += np.bitwise_count(more[:, None] ^ more[None, :])
-    return np.nonzero(np.triu((apart <= farthest) & (root[:, None] != root[None, :]), 1))
+    i, j = np.nonzero(np.triu((apart <= farthest) & (root[:, None] != root[None, :]), 1))
+    for mask, beyond in under[: held["bucket"][start] & ((1 << SAMPLE_BITS) - 1)]:
+        if not len(i):
+            break
+        new = ((bits[i] ^ bits[j]) & mask | (more[i] ^ more[j]) & beyond) != 0
+        i, j = i[new], j[new]
+    return i, j, apart[i, j]
 
 
-def partners(farthest: int):
+def partners(farthest: int, masks: np.ndarray):
     """Comparison for ``bucket_pairs``: (node, bucket) of every row with a partner in its bucket; not the pairs."""
+    under = masks.view(np.uint64)
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [np.zeros(0, np.int64)]
         for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            i, j = _near(held, start, size, farthest)
+            i, j, _ = _near(held, start, size, farthest, under)
             if len(i):
                 found.append(start + np.union1d(i, j))
         at = np.concatenate(found)
@@ -210,16 +220,10 @@ def similar_forest(farthest: int, similarity: float, masks: np.ndarray):
 
     def compare(held: Arrays, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        bits, more, sets = held["bits"].view(np.uint64), held["more"].view(np.uint64), held["shingles"]
+        sets = held["shingles"]
         for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            i, j = _near(held, start, size, farthest)
-            one, two = bits[start + i] ^ bits[start + j], more[start + i] ^ more[start + j]
-            for mask, beyond in under[: held["bucket"][start] & ((1 << SAMPLE_BITS) - 1)]:
-                if not len(i):
-                    break
-                new = (one & mask | two & beyond) != 0
-                i, j, one, two = i[new], j[new], one[new], two[new]
-            nearest = np.argsort(np.bitwise_count(one) + np.bitwise_count(two), kind="stable")
+            i, j, apart = _near(held, start, size, farthest, under)
+            nearest = np.argsort(apart, kind="stable")
             parent = {}
 
             def top(x: int) -> int:
@@ -303,7 +307,7 @@ def near_duplicates(
     at ``similarity`` becomes a candidate with a probability of ``meeting`` at every size.
 
     Samples are dealt in rounds. A round deals a row of five numbers per text and sample and keeps the rows that have
-    a partner of another group in their bucket; only these meet their shingle sets, bucket by bucket, where every
+    a partner of another group in their bucket that they meet for the first time; only these meet their shingle sets, bucket by bucket, where every
     candidate is verified that is not connected by then, and only links that connect leave the task. So no unverified
     pair is ever a row, a group of many near copies needs no pair of each two, and every pair that meets is
     verified or connected. Groups are contracted between the rounds. Measured recall is in the README.
@@ -338,7 +342,7 @@ def near_duplicates(
     roots = nodes.where("some").select("node", "bits", "more", F.col("node").alias("root"))
     links = sets = None
     for low, high in rounds_of(len(masks)):
-        flagged = cut_lineage(bucket_pairs(_bucketed(roots, masks, low, high), ["bucket"], "node", partners(farthest), most).toDF("node", "bucket"))
+        flagged = cut_lineage(bucket_pairs(_bucketed(roots, masks, low, high), ["bucket"], "node", partners(farthest, masks), most).toDF("node", "bucket"))
         wanted = flagged.select("node").distinct()
         if sets is not None:
             wanted = wanted.join(sets, "node", "left_anti")
