@@ -26,14 +26,14 @@ def _clock(ms: str, sep: str) -> str:
 
 
 @query("src_01_caption_files", """SELECT path, format_hint, CASE WHEN error IS NULL THEN text END AS text, error FROM (
-  SELECT '/captions/' || doc_id || ['.srt', '.VTT', '.ass', '.txt', '.mp4'][1 + doc_id % 5] AS path, ['srt', 'vtt', 'ass', 'txt', 'mp4'][1 + doc_id % 5] AS format_hint, text,
-    CASE WHEN strlen(text) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END > 4000 THEN 'too-large' WHEN doc_id % 7 = 0 THEN 'invalid-utf8' END AS error FROM documents) WHERE format_hint IN ('srt', 'vtt', 'ass')""")
+  SELECT '/captions/' || doc_id || ['.srt', '.VTT', '.ass'][1 + doc_id % 3] AS path, ['srt', 'vtt', 'ass'][1 + doc_id % 3] AS format_hint, text,
+    CASE WHEN doc_id % 7 = 0 THEN 'invalid-utf8' END AS error FROM documents)""")
 def _(spark, sf):
-    """Documents as files: some with a byte order mark, some with a stray byte, some of another kind."""
-    bytes_ = "concat(IF(doc_id % 3 = 0, X'EFBBBF', X''), CAST(text AS BINARY), IF(doc_id % 7 = 0, X'FF', X''))"
+    """Documents as caption files of three kinds: some with a byte order mark, some with a stray byte."""
+    bytes_ = "concat(IF(doc_id % 4 = 0, X'EFBBBF', X''), CAST(text AS BINARY), IF(doc_id % 7 = 0, X'FF', X''))"
     files = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
-        "concat('/captions/', doc_id, element_at(array('.srt', '.VTT', '.ass', '.txt', '.mp4'), CAST(doc_id % 5 AS INT) + 1)) AS path", f"{bytes_} AS content")
-    return K.caption_texts(files.withColumn("length", F.octet_length("content").cast("long")), 4_000)
+        "concat('/captions/', doc_id, element_at(array('.srt', '.VTT', '.ass'), CAST(doc_id % 3 AS INT) + 1)) AS path", f"{bytes_} AS content")
+    return K.caption_texts(files.withColumn("length", F.octet_length("content").cast("long")))
 
 
 @query("src_07_write_srt", with_tables("cue_turns", CLEAN + f"""
