@@ -202,3 +202,24 @@ def test_face_clusters_switch_and_evict(spark):
     first, second = 0.45 - 0.105, 0.75 - 0.105
     assert len(got) == 90 and all(math.isclose(left, first) for t, left, _ in got if t < 42_000)
     assert all(math.isclose(left, second) for t, left, _ in got if t >= 46_000)
+
+
+def test_planner_options_have_defaults_and_are_bounded(spark):
+    assets = spark.createDataFrame([(1, 200_000), (2, 5_000)], "asset_id long, duration_ms long")
+    default = H.normalize_options(assets).orderBy("asset_id").collect()
+    named = H.normalize_options(assets, H.PlannerOptions(30_000, 15_000, 45_000, 6, 700)).orderBy("asset_id").collect()
+    assert default == named and len(default) == 2
+    assert H.normalize_options(assets, H.PlannerOptions(max_candidates=2)).collect() != default
+
+
+def test_extra_lexicons_label_words(spark):
+    words = spark.createDataFrame([(1, 0, "kediyle"), (1, 1, "hello"), (1, 2, "zumba")], "asset_id long, word_idx long, text string")
+    marked = spark.createDataFrame([], "asset_id long, word_idx long, dict_language string")
+
+    def labels(**extra):
+        return {r.text: (r.label, r.source) for r in C.code_switch(words, marked, "tr", **extra).collect()}
+
+    assert labels()["zumba"] == ("tr", "inherited")
+    assert labels(english=("zumba",))["zumba"] == ("en", "lexicon")
+    assert labels(turkish=("zumba",))["zumba"] == ("tr", "lexicon")
+    assert labels(english=("zumba",), turkish=("zumba",))["zumba"] == ("tr", "inherited")
