@@ -223,3 +223,37 @@ def test_extra_lexicons_label_words(spark):
     assert labels(english=("zumba",))["zumba"] == ("en", "lexicon")
     assert labels(turkish=("zumba",))["zumba"] == ("tr", "lexicon")
     assert labels(english=("zumba",), turkish=("zumba",))["zumba"] == ("tr", "inherited")
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [0.0, 0.34, 0.6, 1.0])
+def test_fuzzy_dictionary_misses_no_form(spark, most):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    words = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "asset_id long, word_idx long, text string")
+    terms = ["".join(rng.choice("abc ") for _ in range(rng.randrange(2, 10))).strip() or "a" for _ in range(12)]
+    dictionary = spark.createDataFrame([(f"e{k}", k, t, [], "term", "en") for k, t in enumerate(terms)], "entry_id string, entry_ord int, canonical string, variants array<string>, category string, language string")
+    want = {}
+    for k, form in enumerate(terms):
+        size = max(1, len(form.split()))
+        for first in range(len(texts)):
+            for n in range(max(1, size - 1), size + 2):
+                run = " ".join(texts[first : first + n])
+                if first + n > len(texts) or run == form:
+                    continue
+                spaced, plain = " ".join(form.split()), "".join(form.split())
+                compact = run.replace(" ", "")
+                distance = min(plain_edits(run, spaced) / max(len(run), len(spaced), 1), plain_edits(compact, plain) / max(len(compact), len(plain), 1))
+                if distance <= most and not (len(compact) < 3 and distance > 0):
+                    want[first, n, k] = round(distance, 9)
+    got = C.dictionary_matches(words, dictionary, most).collect()
+    assert {(r.first_idx, r.n_words, r.entry_ord): round(r.distance, 9) for r in got} == want
+    assert len(got) == len(want)
