@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,17 @@ Finish = Callable[[Any], list]
 CHUNK_ROWS = 1_000_000
 
 
+class Effect(NamedTuple):
+    """What a run of rows does to the state it meets. Effects are JSON-safe and of bounded size.
+
+    ``absorb(effect, row)`` adds one row behind a run; ``apply(effect, state)`` is the state behind the run.
+    """
+
+    identity: Any
+    absorb: Callable[[Any, tuple], Any]
+    apply: Callable[[Any, Any], Any]
+
+
 def _runner(keys: int, step: Step, finish: Finish | None, columns: list[str]):
     """Iterate sorted batches; a new key resets the state."""
 
@@ -80,6 +91,23 @@ def _chunk_runner(keys: int, step: Step, finish: Finish | None, columns: list[st
     return run
 
 
+def _carrier(keys: int, effect: Effect, columns: list[str]):
+    """Rows (keys, chunk, effect of the chunk) in order become (keys, chunk, state that the chunk meets)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[:keys] != current:
+                    current, state = row[:keys], None
+                out.append((*row[: keys + 1], json.dumps(state)))
+                state = effect.apply(json.loads(row[keys + 1]), state)
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -90,11 +118,13 @@ def ordered_fold(
     finish: Finish | None = None,
     chunk: Column | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    effect: Effect | None = None,
 ) -> DataFrame:
     """Fold each key's rows in ``order``. ``step`` sees the ``inputs`` columns as a tuple.
 
     ``chunk`` (monotone along ``order``) is used to number the rows of huge keys
     without one task seeing them all; without it the first order column is used.
+    With an ``effect`` the chunks of a huge key take two passes, however many they are.
     """
     keys, order, inputs = list(keys), list(order), list(inputs)
     key_fields = [df.schema[k] for k in keys]
@@ -125,12 +155,19 @@ def ordered_fold(
     state_schema = T.StructType([*key_fields, T.StructField("__c", T.LongType()), T.StructField("__out", T.StringType())])
     state_columns = [f.name for f in state_schema.fields]
 
-    def fold(active: DataFrame, emit: bool) -> DataFrame:
+    def fold(active: DataFrame, emit: bool, step: Step = step) -> DataFrame:
         joined = rows.join(active, [*keys, "__c"]).repartition(*keys, "__c")
         fed = joined.sortWithinPartitions(*keys, "__c", *order).select(*keys, "__c", "__last", "__in", *inputs)
         runner = _chunk_runner(len(keys), step, finish, columns if emit else state_columns, emit)
         return fed.mapInPandas(runner, schema if emit else state_schema)
 
+    if effect is not None:
+        whole = fold(states, False, lambda total, row: (effect.absorb(effect.identity if total is None else total, row), []))
+        along = whole.repartition(*keys).sortWithinPartitions(*keys, "__c").mapInPandas(
+            _carrier(len(keys), effect, [*state_columns[:-1], "__in"]), T.StructType([*state_schema.fields[:-1], T.StructField("__in", T.StringType())]))
+        met = cut_lineage(states.drop("__in").join(along, [*keys, "__c"]).select(*keys, "__c", "__last", "__in"))
+        return cold.unionByName(fold(met, emit=True))
+
     changed = states
     outcome = None
     while changed.take(1):

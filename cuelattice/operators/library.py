@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.functions.scalars import field_hash
-from cuelattice.kernel.fold import ordered_fold
+from cuelattice.kernel.fold import CHUNK_ROWS, Effect, ordered_fold
 from cuelattice.kernel.scan import Running, running
 
 # Media kinds by file extension.
@@ -252,15 +252,31 @@ def stage_baseline(stage: str = "stage", source_ms: str = "source_ms") -> str:
     return f"CASE {stage} {cases} END"
 
 
-def learned_ratios(runs: DataFrame) -> DataFrame:
-    """Smoothed observed/expected ratio per profile and stage over its run history."""
+def learned_ratios(runs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Smoothed observed/expected ratio per profile and stage over its run history.
+
+    A step is a line clamped at both ends, and so is any run of steps: (slope, shift, least, most) is the effect of a run.
+    """
     ready = runs.withColumn("observed", F.expr(f"least({RATIO_HIGH}D, greatest({RATIO_LOW}D, greatest(250, elapsed_ms) / ({stage_baseline()})))"))
 
     def step(state, row):
         ratio = 1.0 if state is None else state[0]
         return [min(RATIO_HIGH, max(RATIO_LOW, ratio * KEEP + row[0] * LEARN))], []
 
-    return ordered_fold(ready, ["profile_id", "stage"], ["run_no"], ["observed"], step, [T.StructField("ratio", T.DoubleType())], finish=lambda s: [] if s is None else [(s[0],)], chunk=F.expr("run_no DIV 100000"))
+    def absorb(line, row):
+        slope, shift, least, most = line
+        least, most = (min(RATIO_HIGH, max(RATIO_LOW, bound * KEEP + row[0] * LEARN)) for bound in (least, most))
+        return [slope * KEEP, shift * KEEP + row[0] * LEARN, least, most]
+
+    def apply(line, state):
+        slope, shift, least, most = line
+        return [min(most, max(least, slope * (1.0 if state is None else state[0]) + shift))]
+
+    # Every ratio lies between the limits, the first one (1.0) too.
+    runs_of = Effect([1.0, 0.0, RATIO_LOW, RATIO_HIGH], absorb, apply)
+    return ordered_fold(
+        ready, ["profile_id", "stage"], ["run_no"], ["observed"], step, [T.StructField("ratio", T.DoubleType())],
+        finish=lambda s: [] if s is None else [(s[0],)], chunk=F.expr("run_no DIV 100000"), chunk_rows=chunk_rows, effect=runs_of)
 
 
 def expected_stage_ms(requests: DataFrame, ratios: DataFrame) -> DataFrame:

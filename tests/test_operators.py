@@ -12,6 +12,7 @@ from cuelattice.kernel.scan import hot_keys
 from cuelattice.operators import camera as A
 from cuelattice.operators import captions as C
 from cuelattice.operators import highlights as H
+from cuelattice.operators import library as B
 from cuelattice.operators import timeline as M
 from cuelattice.sources import caption_text as K
 
@@ -135,6 +136,50 @@ def test_bad_cue_times_fail_the_export(spark):
         K.write_srt(cues).collect()
 
 
+def _rounds(monkeypatch):
+    """Counts the tables that a fold writes."""
+    from cuelattice.kernel import fold
+
+    written = []
+    real = fold.cut_lineage
+    monkeypatch.setattr(fold, "cut_lineage", lambda df: written.append(1) or real(df))
+    return written
+
+
+def test_spoken_only_in_chunks(spark, monkeypatch):
+    """Chunks of any size give what one pass gives, and their number does not change how many tables are written."""
+    rnd = random.Random(5)
+    signs = ["a", "b ", "c", "(", ")", "[", "]", "{", "}", "*", "♪"]
+    data = [(k, i, "".join(rnd.choices(signs, [6, 3, 6, 1, 2, 1, 2, 1, 2, 1, 1], k=rnd.randrange(0, 7)))) for k in range(3) for i in range(150)]
+    words = spark.createDataFrame(data, "asset_id long, word_idx long, text string")
+    with hot_keys(False):
+        want = rows(C.spoken_only(words), "asset_id", "word_idx", "text")
+    written, counts = _rounds(monkeypatch), []
+    for size in (30, 4):
+        written.clear()
+        with hot_keys(True):
+            assert rows(C.spoken_only(words, chunk_rows=size), "asset_id", "word_idx", "text") == want
+        counts.append(len(written))
+    assert counts[0] == counts[1]
+    assert {r[0] for r in want} == {0, 1, 2}
+
+
+def test_learned_ratios_in_chunks(spark, monkeypatch):
+    rnd = random.Random(6)
+    data = [("p", "planning", i, float(rnd.choice([10, 900, 2500, 9_000, 40_000])), 60_000) for i in range(80)]
+    runs = spark.createDataFrame(data, "profile_id string, stage string, run_no long, elapsed_ms double, source_ms long")
+    ratio = 1.0
+    for row in data:
+        ratio = min(4.0, max(0.35, ratio * 0.72 + min(4.0, max(0.35, max(250, row[3]) / 2500)) * 0.28))
+    written, counts = _rounds(monkeypatch), []
+    for hot, size in ((False, 10**6), (True, 30), (True, 3)):
+        written.clear()
+        with hot_keys(hot):
+            assert B.learned_ratios(runs, chunk_rows=size).first().ratio == pytest.approx(ratio, abs=1e-12)
+        counts.append(len(written))
+    assert counts[1] == counts[2]
+
+
 def test_spoken_only_carries_brackets(spark):
     words = spark.createDataFrame([(1, i, t) for i, t in enumerate(["hi", "(loud", "noise)", "there", "♪", "la", "♪", "*bang*", "end)"])], "asset_id long, word_idx long, text string")
     assert rows(C.spoken_only(words), "word_idx", "text") == [(0, "hi"), (3, "there"), (8, "end)")]
