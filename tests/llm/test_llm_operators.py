@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -412,6 +413,23 @@ def test_random_strings_are_added_and_identifiers_are_not(spark, vocabulary):
     assert got == {i: [("random", 4, 4 + len(w))] if i < len(found) else [] for i, w in enumerate(found + clean)}
 
 
+def test_random_strings_of_any_alphabet_and_place(spark, vocabulary):
+    """Of random strings of one case or of all signs, alone or in a path, most are found at their place; words are not."""
+    rng = random.Random(8)
+    alphabets = [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits, string.ascii_lowercase + string.digits]
+    made = ["".join(rng.choices(alphabets[i % 4], k=24)) for i in range(400)]
+    around = ["see {} there", "/srv/releases/{}/index", "load my-config-name_{}-backup now"]
+    table = spark.createDataFrame([(i, around[i % 3].format(w)) for i, w in enumerate(made)], "asset_id long, transcript string")
+    hit = collections.Counter()
+    for r in secret_scan.find_secrets(table, vocabulary).collect():
+        at = around[r.asset_id % 3].index("{}")
+        hit[r.asset_id % 4] += any(s.start == at and s.end == at + 24 for s in r.spans)
+    assert all(hit[k] >= 85 for k in range(4)), hit
+    paths = ["/usr/share/documentation/internationalization/readme-2024-10-31", "reports/2024/10/31/quarterly_summary_final_v3", "see/550e8400-e29b-41d4-a716-446655440000/x"]
+    clean = spark.createDataFrame(list(enumerate(paths)), "asset_id long, transcript string")
+    assert all(not r.spans for r in secret_scan.find_secrets(clean, vocabulary).collect())
+
+
 # -- 7 fixity -----------------------------------------------------------------------------------------------------
 
 
