@@ -22,7 +22,7 @@ def _hashed(transcripts: DataFrame, blocks: int) -> DataFrame:
     mixed = F.xxhash64(digest, F.lit("probe"))
     bits = [F.shiftrightunsigned(mixed, 15 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for k in range(PROBES)]
     return transcripts.withColumns({
-        "_bare": bare, "_n_chars": F.length(text), "_block": F.pmod(digest, F.lit(blocks)), "_bits": F.array(*bits),
+        "text_sha256": F.sha2(bare.cast("binary"), 256), "_n_chars": F.length(text), "_block": F.pmod(digest, F.lit(blocks)), "_bits": F.array(*bits),
     })
 
 
@@ -56,7 +56,7 @@ def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, broadcast_b
     whose bits are not all in it has no copy and passes straight through, with its payload and without a shuffle.
     Only the others are grouped, by digest, so a false positive costs a shuffle and never a wrong answer. The
     filter grows with the rows (``bits_per_row``); up to ``broadcast_bytes`` it is broadcast, beyond that it is
-    joined by block, which moves rows whose payload is whatever the caller reads.
+    joined by block, which moves every row once with the payload that the caller reads (not the normalised text).
 
     Defined cases: a null transcript counts as empty; empty texts are one group; rows that repeat an id and a text
     are members of the group and one of them is kept; an empty table gives an empty result; an input column
@@ -71,7 +71,7 @@ def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, broadcast_b
         found = F.broadcast(found)
     probed = hashed.join(found, "_block", "left").withColumn(
         "_again", F.coalesce(_all([_is_set(F.col("_map"), F.col("_bits")[k]) for k in range(PROBES)]), F.lit(False))
-    ).withColumn("text_sha256", F.sha2(F.col("_bare").cast("binary"), 256)).drop("_map", "_block", "_bits", "_bare")
+    ).drop("_map", "_block", "_bits")
     names = [*rows.columns, *OWN]
     single = probed.where("not _again").withColumns({
         "keep_id": F.col("asset_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})

@@ -255,6 +255,13 @@ def test_embeddings_that_link_with_nothing(spark):
     assert cap_filters.embedding_groups(table.limit(0)).count() == 0
 
 
+def test_exact_duplicates_with_a_filter_too_large_to_broadcast(documents):
+    ids = ["asset_id", "keep_id", "group_size", "kept", "text_sha256"]
+    table = documents.select("asset_id", "transcript")
+    joined = exact_dedup.exact_duplicates(table, broadcast_bytes=0).select(*ids)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, exact_dedup.exact_duplicates(table).select(*ids).collect()))
+
+
 # -- 3 mixing -----------------------------------------------------------------------------------------------------
 
 
@@ -293,6 +300,13 @@ def test_mixture_targets_and_copies(spark, documents, awkward):
     assert mixing.mix_sources(table).count() == sum(r.copies for r in got)
 
 
+def test_mixture_of_a_repeated_id_agrees_with_itself(spark):
+    """Rows of one id and size but different texts give the same texts however they are partitioned."""
+    table = spark.createDataFrame([(i // 400, f"word{i} and two", "s" if i % 3 else None) for i in range(1_200)], "asset_id long, transcript string, source_name string")
+    taken = [sorted((r.transcript, r.copies) for r in mixing.mixture_copies(t).collect()) for t in (table.coalesce(1), table.repartition(5, "transcript"))]
+    assert taken[0] == taken[1]
+
+
 def test_mixture_of_awkward_and_empty_tables(awkward, empty):
     got = mixing.mixture_copies(awkward)
     assert got.count() == 13 and got.where("asset_id = 1").first().taken == 0
