@@ -1,8 +1,10 @@
 """Operators whose results the SQL oracle cannot express, against plain Python models and fixed cases."""
 
+import functools
 import itertools
 import math
 import random
+import tracemalloc
 
 import pytest
 from conftest import rows
@@ -302,3 +304,34 @@ def test_fuzzy_dictionary_misses_no_form(spark, most):
     got = C.dictionary_matches(words, dictionary, most).collect()
     assert {(r.first_idx, r.n_words, r.entry_ord): round(r.distance, 9) for r in got} == want
     assert len(got) == len(want)
+
+
+def test_alignment_is_the_tables_and_needs_little_memory():
+    """Anchors equal those of a recursion over the whole table; a cue of 20 000 words does not need that table."""
+    def plain(a, b):
+        @functools.cache
+        def longest(i, j):
+            if i == len(a) or j == len(b):
+                return 0
+            return longest(i + 1, j + 1) + 1 if a[i] == b[j] else max(longest(i + 1, j), longest(i, j + 1))
+
+        pairs, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                pairs.append((i, j))
+            same = a[i] == b[j]
+            old_first = longest(i + 1, j) >= longest(i, j + 1)
+            i, j = i + (same or old_first), j + (same or not old_first)
+        return pairs
+
+    rnd = random.Random(12)
+    for _ in range(400):
+        a, b = (rnd.choices("abcdef"[: rnd.randrange(1, 7)], k=rnd.randrange(0, 14)) for _ in range(2))
+        assert C._align(a, b) == plain(a, b)
+    old = [f"w{rnd.randrange(3_000)}" for _ in range(20_000)]
+    new = [w for w in old if rnd.random() > 0.05]
+    tracemalloc.start()
+    pairs = C._align(old, new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == len(new) and all(old[i] == new[j] for i, j in pairs) and peak < 100 << 20
