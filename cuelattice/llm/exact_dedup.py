@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.llm.records import WHITE_SPACE, salted_join, without
+from cuelattice.session import cut_lineage
 
 #: Bits of one filter block: what one bitmap of ``bitmap_construct_agg`` holds.
 BLOCK_BITS = 32_768
@@ -13,27 +16,46 @@ PROBES = 4
 OWN = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _hashed(transcripts: DataFrame, blocks: int) -> DataFrame:
-    text = F.coalesce("transcript", F.lit(""))
-    bare = text
+def _bare(text: Column) -> Column:
+    out = F.coalesce(text, F.lit(""))
     for sign in WHITE_SPACE:
-        bare = F.replace(bare, F.lit(sign), F.lit(""))
-    digest = F.xxhash64(bare)
-    mixed = F.xxhash64(digest, F.lit("probe"))
+        out = F.replace(out, F.lit(sign), F.lit(""))
+    return out
+
+
+def _probes(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with the filter block and the bits of their ``_digest``."""
+    mixed = F.xxhash64("_digest", F.lit("probe"))
     bits = [F.shiftrightunsigned(mixed, 15 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for k in range(PROBES)]
-    return transcripts.withColumns({
-        "text_sha256": F.sha2(bare.cast("binary"), 256), "_n_chars": F.length(text), "_block": F.pmod(digest, F.lit(blocks)), "_bits": F.array(*bits),
-    })
+    return rows.withColumns({"_block": F.pmod("_digest", F.lit(blocks)), "_bits": F.array(*bits)})
+
+
+def _blocks(rows: int, bits_per_row: int) -> int:
+    return max(1, -(-rows * bits_per_row // BLOCK_BITS))
+
+
+def _bitmaps(bits: DataFrame) -> DataFrame:
+    """One bitmap per block of its ``_bit`` values. Bits move to their block, so no task holds bitmaps of all blocks."""
+    return bits.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("_map"))
 
 
-def repeated_bits(hashed: DataFrame) -> DataFrame:
+def repeated_bits(probes: DataFrame) -> DataFrame:
     """First pass: the filter, one bitmap per block, of the bits that at least two rows set.
 
     Rows are counted per bit before a shuffle, so a text with any number of copies sends one row per task.
     """
-    set_bits = hashed.select("_block", F.explode(F.array_distinct("_bits")).alias("_bit"))
-    twice = set_bits.groupBy("_block", "_bit").count().where("count > 1")
-    return twice.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("_map"))
+    set_bits = probes.select("_block", F.explode(F.array_distinct("_bits")).alias("_bit"))
+    return _bitmaps(set_bits.groupBy("_block", "_bit").count().where("count > 1"))
+
+
+def possible_repeats(digests: DataFrame, bits_per_row: int) -> DataFrame:
+    """Second pass: each ``_digest`` all of whose bits two or more rows set, once.
+
+    Digests meet their block of the filter, whatever its size; copies of one text are spread over salts.
+    """
+    probes = _probes(digests, _blocks(digests.count(), bits_per_row))
+    met = salted_join(probes, repeated_bits(probes), "_block", F.monotonically_increasing_id())
+    return met.where(_held()).select("_digest").distinct()
 
 
 def _is_set(bitmap: Column, bit: Column) -> Column:
@@ -42,7 +64,13 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
     return byte.bitwiseAND(F.element_at(masks, F.pmod(bit, F.lit(8)).cast("int") + 1)) != 0
 
 
-def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def _held() -> Column:
+    """Whether all bits of a row are in its block's bitmap."""
+    tests = [_is_set(F.col("_map"), F.col("_bits")[k]) for k in range(PROBES)]
+    return reduce(lambda a, b: a & b, tests)
+
+
+def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, filter_bytes: int = 64 << 20) -> DataFrame:
     """Mark exact copies of transcripts; texts are equal when they are identical without white space.
 
     Needs ``asset_id`` and ``transcript`` and returns every row with all its columns plus
@@ -52,26 +80,28 @@ def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, broadcast_b
     ``kept``         true for exactly one row of each group
     ``text_sha256``  digest of the text without white space
 
-    The first pass builds a blocked Bloom filter of the bits that two or more rows set. In the second pass a row
-    whose bits are not all in it has no copy and passes straight through, with its payload and without a shuffle.
-    Only the others are grouped, by digest, so a false positive costs a shuffle and never a wrong answer. The
-    filter grows with the rows (``bits_per_row``); up to ``broadcast_bytes`` it is broadcast, beyond that it is
-    joined by block, which moves every row once with the payload that the caller reads (not the normalised text).
+    Both passes read 64-bit digests, written once, never texts. The first builds a blocked Bloom filter of the bits
+    that two or more rows set, ``bits_per_row`` bits a row; in the second the digests meet it block by block, and
+    those whose bits are all in it may be repeated. They go to the rows as one more filter, with as many bits for
+    each of them but never more than ``filter_bytes``, so it is always broadcast. A row outside it has no copy
+    and passes straight through, with its payload and without a shuffle. Only the others are grouped, by their whole
+    digest, so a false positive costs a shuffle and never a wrong answer. ``filter_bytes`` holds 33 million repeated texts
+    at 16 bits (rows let in wrongly: 0.2 %); with four times as many it has 4 bits for each (16 %), with ever more
+    repeated texts ever more single rows take the way of the repeated ones.
 
     Defined cases: a null transcript counts as empty; empty texts are one group; rows that repeat an id and a text
     are members of the group and one of them is kept; an empty table gives an empty result; an input column
     with the name of a result column is replaced.
     """
     rows = without(transcripts, *OWN)
-    total = rows.count()
-    blocks = max(1, -(-total * bits_per_row // BLOCK_BITS))
-    hashed = _hashed(rows, blocks)
-    found = repeated_bits(_hashed(rows.select("transcript"), blocks))
-    if blocks * BLOCK_BITS // 8 <= broadcast_bytes:
-        found = F.broadcast(found)
-    probed = hashed.join(found, "_block", "left").withColumn(
-        "_again", F.coalesce(_all([_is_set(F.col("_map"), F.col("_bits")[k]) for k in range(PROBES)]), F.lit(False))
-    ).drop("_map", "_block", "_bits")
+    digests = cut_lineage(rows.select(F.xxhash64(_bare(F.col("transcript"))).alias("_digest")))
+    repeats = cut_lineage(possible_repeats(digests, bits_per_row))
+    blocks = min(_blocks(repeats.count(), bits_per_row), max(1, filter_bytes * 8 // BLOCK_BITS))
+    known = _bitmaps(_probes(repeats, blocks).select("_block", F.explode(F.array_distinct("_bits")).alias("_bit")))
+    bare = _bare(F.col("transcript"))
+    marks = rows.withColumns({"text_sha256": F.sha2(bare.cast("binary"), 256), "_n_chars": F.length(F.coalesce("transcript", F.lit(""))), "_digest": F.xxhash64(bare)})
+    probed = _probes(marks, blocks).join(F.broadcast(known), "_block", "left").withColumn(
+        "_again", F.coalesce(_held(), F.lit(False))).drop("_map", "_block", "_bits", "_digest")
     names = [*rows.columns, *OWN]
     single = probed.where("not _again").withColumns({
         "keep_id": F.col("asset_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
@@ -87,10 +117,3 @@ def exact_duplicates(transcripts: DataFrame, bits_per_row: int = 16, broadcast_b
         "kept": first & F.col("asset_id").eqNullSafe(F.col("_best.id")) & (F.col("_best.fewer") == -F.col("_n_chars")),
     })
     return single.select(*[F.col(f"`{n}`") for n in names]).unionByName(marked.select(*[F.col(f"`{n}`") for n in names]))
-
-
-def _all(tests: list[Column]) -> Column:
-    held = tests[0]
-    for test in tests[1:]:
-        held = held & test
-    return held

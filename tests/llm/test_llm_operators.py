@@ -255,13 +255,6 @@ def test_embeddings_that_link_with_nothing(spark):
     assert cap_filters.embedding_groups(table.limit(0)).count() == 0
 
 
-def test_exact_duplicates_with_a_filter_too_large_to_broadcast(documents):
-    ids = ["asset_id", "keep_id", "group_size", "kept", "text_sha256"]
-    table = documents.select("asset_id", "transcript")
-    joined = exact_dedup.exact_duplicates(table, broadcast_bytes=0).select(*ids)
-    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, exact_dedup.exact_duplicates(table).select(*ids).collect()))
-
-
 # -- 3 mixing -----------------------------------------------------------------------------------------------------
 
 
@@ -376,13 +369,22 @@ def test_exact_duplicates_match_brute_force(spark, documents, awkward, bits):
 
 
 def test_filter_lets_single_texts_pass(spark, documents):
-    """The second pass groups only what may be repeated."""
-    hashed = exact_dedup._hashed(documents, 1)
-    found = exact_dedup.repeated_bits(hashed)
-    again = exact_dedup._all([exact_dedup._is_set(F.col("_map"), F.col("_bits")[k]) for k in range(exact_dedup.PROBES)])
-    passed = hashed.join(found, "_block", "left").where(again).count()
-    repeated = hashed.groupBy("_bare").count().where("count > 1").agg(F.sum("count")).first()[0] or 0
-    assert repeated <= passed <= repeated + 5
+    """The second pass names only digests that may be repeated, and all that are."""
+    digests = documents.select(F.xxhash64(exact_dedup._bare(F.col("transcript"))).alias("_digest"))
+    repeated = {r[0] for r in digests.groupBy("_digest").count().where("count > 1").collect()}
+    for bits, more in ((16, 5), (64, 1)):
+        found = [r[0] for r in exact_dedup.possible_repeats(digests, bits).collect()]
+        assert repeated <= set(found) and len(found) == len(set(found)) <= len(repeated) + more
+
+
+@pytest.mark.parametrize("filter_bytes", [0, 4096, 8192])
+def test_exact_duplicates_with_a_full_filter(spark, documents, filter_bytes):
+    """A filter with far too few bits lets single rows in among the repeated ones and changes no result."""
+    ids = ["asset_id", "keep_id", "group_size", "kept", "text_sha256"]
+    many = spark.range(20_000).selectExpr("1000000 + id AS asset_id", "concat('cue ', id DIV 2, ' again') AS transcript")
+    table = documents.select("asset_id", "transcript").unionByName(many)
+    tight = exact_dedup.exact_duplicates(table, filter_bytes=filter_bytes).select(*ids)
+    assert sorted(map(tuple, tight.collect())) == sorted(map(tuple, exact_dedup.exact_duplicates(table).select(*ids).collect()))
 
 
 def test_exact_duplicates_of_awkward_and_empty_tables(awkward, empty):
