@@ -188,13 +188,12 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(ceiling) OVER o, 0))::D
 f AS (SELECT arg_min(level, ceiling / weight) AS level FROM l WHERE level * weight <= ceiling),
 t AS (SELECT l.source, l.source_size, CASE WHEN f.level IS NULL THEN ceiling::DOUBLE ELSE least(ceiling::DOUBLE, f.level * weight) END AS target FROM l, f),
 r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.part, d.doc_id NULLS LAST) - 1 AS place
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.part, d.doc_id NULLS LAST) - 1 AS by_size, count(*) OVER (PARTITION BY d.source) AS n
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-u AS (SELECT source, draw, ('0x' || substr(md5('7:' || draw || ':' || CASE WHEN source IS NULL THEN 'none' ELSE 's' || source END), 1, 5))::BIGINT::DOUBLE / 1048576.0 AS offset_
-  FROM s, (SELECT unnest(range(0, 32)) AS draw)),
-c AS (SELECT r.*, u.draw, (floor((place + 1) * rate + offset_) - floor(place * rate + offset_))::BIGINT AS copies FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source),
-b AS (SELECT source, arg_min(draw, (abs(words - target), draw)) AS draw FROM (SELECT source, draw, any_value(target) AS target, sum(copies * size) AS words FROM c GROUP BY source, draw) GROUP BY source)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c JOIN b ON c.draw = b.draw AND c.source IS NOT DISTINCT FROM b.source
+c AS (SELECT *, CASE WHEN by_size % 2 = 0 THEN by_size // 2 ELSE n - 1 - by_size // 2 END AS place,
+  ('0x' || substr(md5('7:' || CASE WHEN source IS NULL THEN 'none' ELSE 's' || source END), 1, 5))::BIGINT::DOUBLE / 1048576.0 AS offset_ FROM r),
+k AS (SELECT *, (floor((place + 1) * rate + offset_) - floor(place * rate + offset_))::BIGINT AS copies FROM c)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k
 """
 
 ORACLES["op5_exact_dedup"] = r"""
