@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions import lexicons as L
@@ -546,17 +545,31 @@ def _(spark, sf):
     return C.align_edited_text(words, text.join(spans, ["doc_id", "cue_id"]), ["doc_id", "cue_id"])
 
 
-@query("txt_06_edit_distance", """SELECT a, b, round(levenshtein(a_text, b_text) / greatest(length(a_text), length(b_text), 1)::DOUBLE, 6) AS d
-FROM (SELECT item_id AS a, text AS a_text, lead(item_id) OVER w AS b, lead(text) OVER w AS b_text FROM benchmark WINDOW w AS (PARTITION BY item_id % 7 ORDER BY item_id))
-WHERE regexp_matches(a_text || b_text, '^[ -~\\n]*$')""")
+@query("txt_06_edit_distance", """SELECT l.item_id AS a, r.item_id AS b, round(levenshtein(l.text, r.text) / greatest(length(l.text), length(r.text), 1)::DOUBLE, 6) AS d
+FROM benchmark l JOIN benchmark r ON r.item_id = l.item_id + 7 WHERE regexp_matches(l.text || r.text, '^[ -~\\n]*$')""")
 def _(spark, sf):
-    """Whole texts of neighbouring items of a class, so the pairs grow with the items."""
-    along = Window.partitionBy(F.col("item_id") % 7).orderBy("item_id")
-    pairs = spark.read.parquet(f"{sf}/benchmark.parquet").select(
-        F.col("item_id").alias("a"), F.col("text").alias("a_text"), F.lead("item_id").over(along).alias("b"), F.lead("text").over(along).alias("b_text"))
+    """Whole texts of items seven apart, met by their ids."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    left = items.select(F.col("item_id").alias("a"), F.col("text").alias("a_text"), (F.col("item_id") + 7).alias("b"))
+    pairs = left.join(items.select(F.col("item_id").alias("b"), F.col("text").alias("b_text")), "b")
     return pairs.where("concat(a_text, b_text) RLIKE '^[ -~\\\\n]*$'").select("a", "b", F.round(X.edit_distance_ratio(F.col("a_text"), F.col("b_text")), 6).alias("d"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("txt_06_spelling_pairs", f"""WITH w AS (SELECT DISTINCT s, length(s) AS n FROM (
+  SELECT regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]', '?', 'g') AS s FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n\\t\\r]+')) AS x FROM conversations)) WHERE s <> ''),
+m AS (SELECT *, unnest(range(n, n // 4 * 5 + 5)) AS partner FROM w),
+p AS (SELECT m.s AS x, w.s AS y, w.n FROM m JOIN w ON w.n = m.partner AND w.n - m.n <= floor(0.2 * w.n + 1e-9) AND (m.n < w.n OR m.s < w.s))
+SELECT least(x, y) AS "left", greatest(x, y) AS "right", round(d / n::DOUBLE, 6) AS distance FROM (SELECT *, levenshtein(x, y) AS d FROM p) WHERE d <= floor(0.2 * n + 1e-9)""")
+def _(spark, sf):
+    """Like spellings among the words of all cues; letters outside a-z stand as a question mark, in the oracle too."""
+    spelled = F.regexp_replace(F.translate("word", UPPER, LOWER), "[^a-z0-9]", "?")
+    words = T.cue_turns(spark, sf).select(F.explode(F.split("text", "[ \\n\\t\\r]+")).alias("word")).select(spelled.alias("text"))
+    return C.spelling_pairs(words, 0.2).withColumn("distance", F.round("distance", 6))
+
+
 @query("txt_08_safe_id", "SELECT doc_id, coalesce(nullif(left(regexp_replace(text, '[^a-zA-Z0-9_-]+', '-', 'g'), 48), ''), 'cue') AS slug FROM documents")
 def _(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", X.safe_id(F.col("text")).alias("slug"))

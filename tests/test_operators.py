@@ -335,3 +335,31 @@ def test_alignment_is_the_tables_and_needs_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(pairs) == len(new) and all(old[i] == new[j] for i, j in pairs) and peak < 100 << 20
+
+
+@pytest.mark.parametrize("most", [0.0, 0.2, 0.34, 0.49])
+def test_spelling_pairs_match_all_pairs(spark, most):
+    rng = random.Random(5)
+    texts = {"".join(rng.choice("abé漢 ") for _ in range(rng.randint(1, 9))) for _ in range(150)}
+    for text in list(texts)[:40]:
+        k = rng.randrange(len(text))
+        texts |= {text[:k] + text[k + 1 :], text[:k] + "b" + text[k:], text[:k] + "a" + text[k + 1 :]}
+    texts.discard("")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    table = spark.createDataFrame([(t,) for t in [*texts, *texts, None, ""]], "text string")
+    got = C.spelling_pairs(table, most).collect()
+    wanted = {}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        longer = max(len(a), len(b))
+        if abs(len(a) - len(b)) <= most * longer and (d := edits(a, b)) <= most * longer + 1e-9:
+            wanted[a, b] = d / longer
+    assert len(got) == len(wanted) and {(r.left, r.right): r.distance for r in got} == pytest.approx(wanted)
+    assert C.spelling_pairs(table.limit(0), most).count() == 0
