@@ -46,6 +46,14 @@ def test_simplify_keeps_error_below_tolerance(spark, hot):
     assert [t for t, _ in kept] == [source[i][1] for i in sorted({0, last} | model(0, last))]
 
 
+def test_simplify_a_series_of_a_million_points(spark):
+    """Saw teeth of 500 points: every tip is kept and nothing else."""
+    table = spark.range(1_000_001).selectExpr("1L AS asset_id", "id AS at_ms", "IF((id DIV 500) % 2 = 0, id % 500, 500 - id % 500) / 10.0D AS gain_db")
+    with hot_keys(False):
+        kept = [r.at_ms for r in A.simplify_gain(table, 0.35).orderBy("at_ms").collect()]
+    assert kept == list(range(0, 1_000_001, 500))
+
+
 def test_smart_cuts_respect_shot_lengths(spark):
     markers = spark.createDataFrame([(1, "a", i * 500, 0.5 + (i % 4 == 0) * 0.4, i % 4 == 0, 1_000.0 + i * 500) for i in range(30)],
                                     "project_id long, clip_id string, source_ms long, confidence double, downbeat boolean, timeline_ms double")
