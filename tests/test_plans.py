@@ -8,7 +8,9 @@ from cuelattice.plans.registry import QUERIES
 
 load_all()
 SF = "/root/testdata/sf0.001"
-NAMES = ["win_01_merge_intervals", "win_03_hysteresis_segments", "win_12_gain_envelope", "win_13_simplify_envelope", "win_23_face_clusters", "edt_14_smart_beat_cuts", "top_02_distance_suppression", "agg_13_interval_coverage"]
+NAMES = ["win_01_merge_intervals", "win_03_hysteresis_segments", "win_12_gain_envelope", "win_13_simplify_envelope", "win_23_face_clusters", "edt_14_smart_beat_cuts", "top_02_distance_suppression", "agg_13_interval_coverage",
+         "win_05_near_duplicate_merge", "win_07_cue_building", "win_08_edit_suggestions", "win_16_ducking_envelope", "win_19_robust_smoothing", "win_28_lane_packing", "win_29_spoken_only",
+         "edt_11_delete_ranges", "join_03_active_at_time", "agg_04_waveform_peaks"]
 
 
 def plain(df):
